@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexitide.llm import copies, termfreq
+from lexitide.llm import copies, leaks, termfreq, tokenize
 from lexitide.llm.sql import SQL as SQL
 from lexitide.sources.tables import table
 
@@ -43,4 +43,20 @@ def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
     return copies.collapse_copies(paper, "row_no", ["paper_id", "abstract"]).select(F.col("rep").alias("row_no"), "copies")
 
 
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenize.encode_texts(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p9_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaked_spans(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "item_text")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p9_spans(spark, folder).select("doc_id", "item_id").distinct()
+
+
+def p9_removals(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.removal_spans(p9_spans(spark, folder))
+
+
 QUERIES = {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
