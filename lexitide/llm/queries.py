@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexitide.llm import copies, leaks, termfreq, tokenize
+from lexitide.llm import canon, copies, leaks, termfreq, tokenize
 from lexitide.llm.sql import SQL as SQL
 from lexitide.sources.tables import table
 
@@ -33,6 +33,27 @@ def p1_phrases(spark: SparkSession, folder: str) -> DataFrame:
     return termfreq.term_frequencies(paper, "abstract", max_len=3).where(F.col("records") * 100 >= n_records)
 
 
+def _usages(spark: SparkSession, folder: str) -> DataFrame:
+    d = table(spark, folder, "disclosure_df")
+    purpose = d.where(F.col("usage_purpose").rlike(NON_BLANK)).select("disclosure_id", F.lit("usage_purpose").alias("field_name"), F.lit(1).alias("pos"), "usage_purpose")
+    parts = d.select("disclosure_id", F.lit("journal_usage").alias("field_name"), F.posexplode(F.split("journal_usage", ";")).alias("pos", "val"))
+    listed = parts.where(F.col("val").rlike(NON_BLANK)).select("disclosure_id", "field_name", (F.col("pos") + 1).alias("pos"), "val")
+    return purpose.toDF("disclosure_id", "field_name", "pos", "val").unionByName(listed)
+
+
+def p3_values(spark: SparkSession, folder: str) -> DataFrame:
+    return canon.map_to_list(_usages(spark, folder), "val", table(spark, folder, "usage_canon"), "ref_id", "usage_label")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_values(spark, folder).select("disclosure_id", "field_name", "pos", "ref_id")
+
+
+def p3_misses(spark: SparkSession, folder: str) -> DataFrame:
+    """Values that mean no entry, with their number."""
+    return p3_values(spark, folder).where("ref_id = 0").groupBy(F.trim("val").alias("val")).agg(F.count("*").alias("n"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     paper = table(spark, folder, "paper").where(F.col("abstract").rlike(NON_BLANK))
     return copies.copy_pairs(paper, "row_no", ["paper_id", "abstract"]).select(F.col("rep").alias("row_no_a"), F.col("id").alias("row_no_b"))
