@@ -126,6 +126,8 @@ class Mapper:
         self.words = {ref: [k for k in dict.fromkeys(self.key(w) for w in text.split() if w not in FILLER)] for text, ref in self.exact.items()}
         spread = Counter(k for ks in self.words.values() for k in ks)
         self.weight = {k: math.log(1 + len(self.words) / n) for k, n in spread.items()}
+        self.spelled = {w: self.key(w) for text in self.exact for w in text.split() if w not in FILLER and len(w) >= 5}
+        self.by_spelling = DeleteIndex(list(self.spelled), 1)
         self.by_word = DeleteIndex([k for k in self.weight if len(k) >= 4], 1)
         self.uses = {ref: frequency.get(text, 0) for text, ref in self.exact.items()}
 
@@ -141,6 +143,8 @@ class Mapper:
         if len(word) >= 4:  # a slip in a short word is weak evidence
             for x, known in [*self.by_word.near(k, 1), *self.by_word.near(word, 1)]:
                 out[known] = max(out.get(known, 0.0), 0.75 if len(known) < 7 else 1 - 0.05 * x)
+        for x, w in self.by_spelling.near(word, 1) if len(word) >= 5 else ():
+            out[self.spelled[w]] = max(out.get(self.spelled[w], 0.0), 1 - 0.08 * x)
         if not out:
             for known in self.weight:
                 if len(known) >= 5 and known in word or len(k) >= 5 and known.startswith(k):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexitide.llm import canon, copies, leaks, termfreq, tokenize
+from lexitide.llm import canon, copies, leaks, names, termfreq, tokenize
 from lexitide.llm.sql import SQL as SQL
 from lexitide.sources.tables import table
 
@@ -33,6 +33,19 @@ def p1_phrases(spark: SparkSession, folder: str) -> DataFrame:
     return termfreq.term_frequencies(paper, "abstract", max_len=3).where(F.col("records") * 100 >= n_records)
 
 
+def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Each spelling of a publisher with the name of its group."""
+    spelled = table(spark, folder, "journal_info").select("publisher").unionAll(table(spark, folder, "publisher_stats").select("normalized_publisher"))
+    return names.link_names(spelled, "publisher")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of spellings of one publisher, the form in which the problem asks for them."""
+    groups = p2_groups(spark, folder)
+    a, b = groups.toDF("name_a", "cluster"), groups.toDF("name_b", "cluster")
+    return a.join(b, "cluster").where("name_a < name_b").select("name_a", "name_b")
+
+
 def _usages(spark: SparkSession, folder: str) -> DataFrame:
     d = table(spark, folder, "disclosure_df")
     purpose = d.where(F.col("usage_purpose").rlike(NON_BLANK)).select("disclosure_id", F.lit("usage_purpose").alias("field_name"), F.lit(1).alias("pos"), "usage_purpose")
