@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexitide.llm import canon, copies, leaks, names, termfreq, tokenize
+from lexitide.llm import canon, copies, leaks, mojibake, names, termfreq, tokenize
 from lexitide.llm.sql import SQL as SQL
 from lexitide.sources.tables import table
 
@@ -93,4 +93,15 @@ def p9_removals(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.removal_spans(p9_spans(spark, folder))
 
 
+def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """Garbled documents with their restored text and whether nothing stays lost."""
+    documents = table(spark, folder, "documents")
+    repaired = mojibake.restore(documents, "doc_id", "text", mojibake.learn(documents, "text"))
+    return repaired.where("garbled").select("doc_id", "restored", "whole")
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p10_restored(spark, folder).select("doc_id")
+
+
 QUERIES = {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
