@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexitide.llm import canon, copies, leaks, mojibake, names, termfreq, tokenize
+from lexitide.llm import canon, copies, language, leaks, mojibake, names, termfreq, tokenize
 from lexitide.llm.sql import SQL as SQL
 from lexitide.sources.tables import table
 
@@ -67,6 +67,18 @@ def p3_misses(spark: SparkSession, folder: str) -> DataFrame:
     return p3_values(spark, folder).where("ref_id = 0").groupBy(F.trim("val").alias("val")).agg(F.count("*").alias("n"))
 
 
+def p5_segments(spark: SparkSession, folder: str) -> DataFrame:
+    paper = table(spark, folder, "paper").where(F.col("abstract").rlike(NON_BLANK))
+    return language.detect(paper, "row_no", "abstract", "abstract_lang").drop("label", "segs")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    paper = table(spark, folder, "paper").where(F.col("abstract").rlike(NON_BLANK))
+    label = F.lower(F.trim("label"))
+    case = (F.col("segs") > 1) | label.isNull() | (label == "") | (label == "und") | (label != F.col("seg_lang"))
+    return language.detect(paper, "row_no", "abstract", "abstract_lang").where(case).select("row_no", "seg_no", "seg_lang")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     paper = table(spark, folder, "paper").where(F.col("abstract").rlike(NON_BLANK))
     return copies.copy_pairs(paper, "row_no", ["paper_id", "abstract"]).select(F.col("rep").alias("row_no_a"), F.col("id").alias("row_no_b"))
