@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexitide.llm import canon, copies, language, leaks, mojibake, names, termfreq, tokenize
+from lexitide.llm import canon, copies, language, leaks, markup, mojibake, names, termfreq, tokenize
 from lexitide.llm.sql import SQL as SQL
 from lexitide.sources.tables import table
 
@@ -67,6 +67,16 @@ def p3_misses(spark: SparkSession, folder: str) -> DataFrame:
     return p3_values(spark, folder).where("ref_id = 0").groupBy(F.trim("val").alias("val")).agg(F.count("*").alias("n"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    marked = markup.label_texts(table(spark, folder, "paper"), "row_no", "abstract", with_text=False)
+    return marked.select("row_no", F.explode("kinds").alias("markup_kind"))
+
+
+def p4_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """Every abstract as clean text that keeps headings, lists, code and formulas."""
+    return markup.label_texts(table(spark, folder, "paper"), "row_no", "abstract")
+
+
 def p5_segments(spark: SparkSession, folder: str) -> DataFrame:
     paper = table(spark, folder, "paper").where(F.col("abstract").rlike(NON_BLANK))
     return language.detect(paper, "row_no", "abstract", "abstract_lang").drop("label", "segs")
