@@ -46,10 +46,28 @@ def non_blank(text: Column) -> Column:
     return F.coalesce(text.rlike(r"[^\s\p{Z}]"), F.lit(False))
 
 
-def word_pattern(words: Iterable[str]) -> str:
-    """Pattern of any of ``words`` as a whole word, in a form that all common engines read alike."""
-    escaped = ("".join("\\" + c if c in r"\.^$|?*+()[]{}" else c for c in w) for w in words)
-    return r"(^|[^\p{L}\p{N}_])(" + "|".join(escaped) + r")($|[^\p{L}\p{N}_])"
+def _quoted(text: str) -> str:
+    return "".join("\\" + c if c in r"\.^$|?*+()[]{}" else c for c in text)
+
+
+def _branches(words: list[str]) -> str:
+    """Pattern of exactly these words in which common beginnings are tried once."""
+    ends = "" in words
+    by_first: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            by_first.setdefault(w[0], []).append(w[1:])
+    parts = [_quoted(c) + _branches(rest) for c, rest in sorted(by_first.items())]
+    if not parts:
+        return ""
+    body = parts[0] if len(parts) == 1 and not ends else "(?:" + "|".join(parts) + ")"
+    return body + "?" if ends else body
+
+
+def word_pattern(words: Iterable[str], plain: bool = False) -> str:
+    """Pattern of any of ``words`` as a whole word, in a form that all common engines read alike; ``plain`` lists them."""
+    body = "|".join(map(_quoted, words)) if plain else _branches(sorted(set(words)))
+    return r"(^|[^\p{L}\p{N}_])(" + body + r")($|[^\p{L}\p{N}_])"
 
 
 def has_word(text: Column, words: Iterable[str] = MARKER_WORDS) -> Column:
@@ -117,16 +135,14 @@ def split_in_turn(text: Column, separators: Iterable[str] = (";", ",", " and ",
     """
     items = F.array(strip(F.coalesce(text, F.lit(""))))
     for s in separators:
-        quoted = "".join("\\" + c if c in r"\.^$|?*+()[]{}" else c for c in s)
-        items = F.flatten(F.transform(items, lambda x, q=quoted: F.split(x, q)))
+        items = F.flatten(F.transform(items, lambda x, q=_quoted(s): F.split(x, q)))
         items = F.filter(F.transform(items, strip), lambda x: x != "")
     return F.filter(items, lambda x: ~F.lower(x).isin(list(dropped)) & (x != ""))
 
 
 def members(text: Column, delimiter: str = "|", keep_blank: bool = False) -> Column:
     """Members of a delimited list as they stand; null counts as empty. Blank members stay only on demand."""
-    quoted = "".join("\\" + c if c in r"\.^$|?*+()[]{}" else c for c in delimiter)
-    parts = F.split(F.coalesce(text, F.lit("")), quoted)
+    parts = F.split(F.coalesce(text, F.lit("")), _quoted(delimiter))
     return parts if keep_blank else F.filter(parts, lambda x: F.trim(x) != "")
 
 

@@ -28,9 +28,14 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
 
 
+def _each_token(text: Column) -> Column:
+    """A row for each token, null for none: unlike a plain explode, this makes no filter that would match twice."""
+    return F.explode_outer(tokens(text)).alias("word")
+
+
 def bag_of_words(df: DataFrame, doc: str, text: str) -> DataFrame:
     """(doc, word, n): how often each word occurs in each document."""
-    return df.select(doc, F.explode(tokens(F.col(text))).alias("word")).groupBy(doc, "word").agg(F.count("*").alias("n"))
+    return df.select(doc, _each_token(F.col(text))).where("word is not null").groupBy(doc, "word").agg(F.count("*").alias("n"))
 
 
 def distributions(df: DataFrame, text: str, second: Column, least: int = 50) -> DataFrame:
@@ -38,7 +43,8 @@ def distributions(df: DataFrame, text: str, second: Column, least: int = 50) ->
 
     Only words that occur at least ``least`` times are kept, which bounds the lexicon by the corpus' vocabulary.
     """
-    words = df.select(F.explode(tokens(F.col(text))).alias("word"), second.alias("s")).where("s is not null")
+    flagged = df.select(tokens(F.col(text)).alias("words"), second.alias("s")).where("s is not null")
+    words = flagged.select(F.explode_outer("words").alias("word"), "s").where("word is not null")
     counts = words.groupBy("word").agg(F.count(F.when(~F.col("s"), 1)).alias("h"), F.count(F.when(F.col("s"), 1)).alias("a"))
     kept = counts.where(F.col("h") + F.col("a") >= least)
     total = lambda c: kept.agg(F.sum(c)).scalar()
@@ -52,7 +58,7 @@ def log_probabilities(df: DataFrame, doc: str, text: str, lexicon: DataFrame) ->
     the lexicon is joined as the planner sees fit by its size.
     """
     logs = lexicon.select("word", F.log(F.col("p_human") + stats.GUARD).alias("h"), F.log(F.col("p_ai") + stats.GUARD).alias("a"))
-    words = df.select(F.col(doc).alias("_doc"), F.explode(tokens(F.col(text))).alias("word"))
+    words = df.select(F.col(doc).alias("_doc"), _each_token(F.col(text)))
     sums = words.join(logs, "word").groupBy("_doc").agg(F.sum("h").alias("lp_human"), F.sum("a").alias("lp_ai"))
     nothing = F.lit(float(np.log(stats.GUARD)))
     return df.join(sums, F.col(doc) == F.col("_doc"), "left").drop("_doc").withColumns({c: F.coalesce(c, nothing) for c in ("lp_human", "lp_ai")})

@@ -13,7 +13,7 @@ from lexitide.operators import prevalence, report
 from lexitide.plans import papers
 from lexitide.sources.tables import table
 
-_PATTERN = text.word_pattern(text.MARKER_WORDS)
+_PATTERN = text.word_pattern(text.MARKER_WORDS, plain=True)
 Z = repr(stats.z_value())
 
 #: Papers with dates, in SQL.
