@@ -134,8 +134,9 @@ def split_in_turn(text: Column, separators: Iterable[str] = (";", ",", " and ",
     earlier one. Null and blank texts give an empty array.
     """
     items = F.array(strip(F.coalesce(text, F.lit(""))))
+    cut = lambda quoted: lambda x: F.split(x, quoted)
     for s in separators:
-        items = F.flatten(F.transform(items, lambda x, q=_quoted(s): F.split(x, q)))
+        items = F.flatten(F.transform(items, cut(_quoted(s))))
         items = F.filter(F.transform(items, strip), lambda x: x != "")
     return F.filter(items, lambda x: ~F.lower(x).isin(list(dropped)) & (x != ""))
 

@@ -180,6 +180,16 @@ domains as (select journal_id, coalesce(domain_name, 'Unknown') as domain, coale
 _LISTED = f"""items as (select disclosure_id, journal_name, {_STRIP.format(c='i')} as item from (select disclosure_id, journal_name, unnest(string_split(journal_usage, ';')) as i from disclosure_df)),
 placed as (select disclosure_id, journal_name, coalesce(usage_group, {rules_sql('item', rules.LISTED, f"'{rules.OTHER}'")}) as category from items left join usage_canon on item = usage_label where item <> '' and lower(item) <> 'unspecified')"""
 
+
+
+def _turns() -> str:
+    """A list of the pieces of a purpose, split by one separator after another."""
+    items = f"list_filter([{_STRIP.format(c="coalesce(usage_purpose, '')")}], lambda i: i <> '')"
+    for sep in (",", " and ", "&", ";"):
+        items = f"list_filter(list_transform(flatten(list_transform({items}, lambda i: string_split(i, '{sep}'))), lambda i: {_STRIP.format(c='i')}), lambda i: i <> '')"
+    return items
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -222,6 +232,7 @@ SQL = {
       from (select disclosure_id, {_PURPOSE} as v from disclosure_df) left join usage_canon on v = usage_label""",
     "usage_list_category": f"""with {_LISTED}, c as (select disclosure_id, string_agg(category, '|' order by category) as categories from (select distinct disclosure_id, category from placed) group by 1)
       select disclosure_id, coalesce(categories, '') as categories from disclosure_df left join c using (disclosure_id)""",
+    "usage_items": f"""select disclosure_id, array_to_string(list_filter({_turns()}, lambda i: lower(i) <> 'unspecified'), '|') as items from disclosure_df""",
     "usage_journal_counts": f"""with {_LISTED}, n as (select * from placed where journal_name is not null)
       select category, count(distinct journal_name) as users, round(100.0::double * count(distinct journal_name) / (select count(distinct journal_name) from n), 8) as percent from n group by category""",
     "tool_counts": "select lower(regexp_replace(ai_tool, '\\s+(v?\\d+)$|\\s', '', 'g')) as tool, count(*) as count from disclosure_df where ai_tool is not null group by 1",
