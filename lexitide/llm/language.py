@@ -147,13 +147,14 @@ def segments(model: Model, texts: list[str | None]) -> list[list[tuple[str, floa
     return out
 
 
-def labelled_sample(df: DataFrame, text: str, label: str, most: int = TRAINED) -> list[tuple[str, str]]:
-    """Up to ``most`` (label, text) rows of each language, the bounded sample for training."""
-    rows = None
+def labelled_sample(df: DataFrame, text: str, label: str, most: int = TRAINED, length: int = 4_000) -> list[tuple[str, str]]:
+    """Up to ``most`` (label, text) rows of each language, texts cut at ``length`` characters: the bounded sample for
+    training. Each language's rows are taken from as few partitions as give enough of them."""
+    rows = []
     for language in LANGUAGES:
-        own = df.where((F.col(label) == language) & F.col(text).isNotNull()).select(F.col(label), F.substring(F.col(text), 1, 20_000)).limit(most)
-        rows = own if rows is None else rows.unionAll(own)
-    return [tuple(r) for r in rows.collect()]
+        own = df.where((F.col(label) == language) & F.col(text).isNotNull()).select(F.substring(F.col(text), 1, length))
+        rows += [(language, r[0]) for r in own.limit(most).collect()]
+    return rows
 
 
 def detect(df: DataFrame, key: str, text: str, label: str) -> DataFrame:

@@ -479,9 +479,10 @@ def clean(text: str, found: list[Leaf], labels: np.ndarray) -> str:
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"(?<=\S)[ \t]{2,}", " ", joined)).strip()
 
 
-def plain_sentences(df: DataFrame, text: str, most: int = 3_000) -> list[str]:
-    """Sentences of up to ``most`` texts without any sign of markup, the bounded sample for training."""
-    rows = df.select(F.substring(F.col(text), 1, 20_000).alias("t")).where(F.col("t").isNotNull() & ~F.col("t").rlike(SIGNS)).limit(most).collect()
+def plain_sentences(df: DataFrame, text: str, most: int = 3_000, length: int = 4_000) -> list[str]:
+    """Sentences of up to ``most`` texts, cut at ``length`` characters, without any sign of markup: the bounded sample
+    for training."""
+    rows = df.select(F.substring(F.col(text), 1, length).alias("t")).where(F.col("t").isNotNull() & ~F.col("t").rlike(SIGNS)).limit(most).collect()
     return [s for r in rows for s in re.findall(r"[^.!?\n]+[.!?]", r.t)]
 
 

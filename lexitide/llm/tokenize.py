@@ -29,8 +29,8 @@ from lexitide.plans.lineage import shared_folder
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Vocabulary file: one token, in base 64, and its rank to a line.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Texts from which the lexicon's words are chosen, and their greatest number.
-SAMPLED_TEXTS, LEXICON_WORDS = 4_000, 40_000
+#: Texts from which the lexicon's words are chosen, how many characters of each, and the words' greatest number.
+SAMPLED_TEXTS, SAMPLED_LENGTH, LEXICON_WORDS = 4_000, 4_000, 40_000
 #: Words whose ids a worker keeps at hand.
 KEPT = 200_000
 
@@ -186,7 +186,7 @@ def encode_texts(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULAR
     """
     spark, ranks = df.sparkSession, read_ranks(vocabulary)
     pattern = regex.compile(WORD)
-    some = df.select(F.col(text).alias("t")).where("t is not null").limit(sampled).toLocalIterator()
+    some = df.select(F.substring(F.col(text), 1, SAMPLED_LENGTH).alias("t")).where("t is not null").limit(sampled).collect()
     counts = Counter(w for row in some for w in pattern.findall(row.t))
     place = publish(spark, compile_lexicon({w.encode(): merge(w.encode(), ranks) for w, _ in counts.most_common(words)}))
     shared = spark.sparkContext.broadcast(ranks)
