@@ -8,7 +8,7 @@ passes in which every group narrows its bracket by sums that combine before the
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -127,52 +127,63 @@ def _solve(pdf: pd.DataFrame, confidence: float, exact: bool) -> tuple[float, fl
     return alpha, information(h, a, n, alpha, exact), max(0.0, lower), min(1.0, upper)
 
 
-def _by_passes(pairs: DataFrame, keys: Sequence[str], confidence: float, exact: bool, ways: int = 16) -> DataFrame:
-    """The same for groups of any size: each pass cuts every group's brackets to a ``ways``-th."""
-    d = F.col("lp_ai") - F.col("lp_human")
-    e = F.exp(-F.abs(d))
+def _by_passes(pairs: DataFrame, keys: Sequence[str], confidence: float, exact: bool, profile: bool, ways: int = 64) -> DataFrame:
+    """The same for groups of any size: each pass cuts every group's brackets to a ``ways``-th. Without ``profile``, the
+    profile bounds are null."""
+    kinds = ", ".join(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in keys)
+
+    def sums(state: DataFrame, of: Callable, at: Callable) -> DataFrame:
+        """(keys, k, s): sums of ``of`` at several points of each group, added up in the tasks first."""
 
-    def slope(x: Column) -> Column:
-        return F.col("n") * F.when(d > 0, (1 - e) / ((1 - x) * e + x)).otherwise((e - 1) / ((1 - x) + x * e))
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for key, own in pdf.groupby(list(keys), dropna=False, sort=False):
+                    d, n, first = (own.lp_ai - own.lp_human).to_numpy(float), own.n.to_numpy(float), own.iloc[0]
+                    s = [of(d, n, float(x)) for x in at(first)]
+                    yield pd.DataFrame([[*key, k, v] for k, v in enumerate(s)], columns=[*keys, "k", "s"])
 
-    def likelihood(x: Column) -> Column:
-        t1, t2 = F.log(1 - x + stats.GUARD), F.log(x + stats.GUARD) + d
-        return F.col("n") * (F.greatest(t1, t2) + F.log1p(F.exp(-F.abs(t1 - t2))))
+        return pairs.join(state, keys).mapInPandas(run, f"{kinds}, k int, s double").groupBy(*keys, "k").agg(F.sum("s").alias("s"))
 
-    def narrow(state: DataFrame, term: Callable, above: Callable, passes: int = 13) -> DataFrame:
+    def narrow(state: DataFrame, of: Callable, above: Callable, passes: int = 9) -> DataFrame:
         """Brackets (lo, hi) in which ``above`` turns from true to false."""
         for _ in range(passes):
-            at = [F.col("lo") + (F.col("hi") - F.col("lo")) * (k / ways) for k in range(1, ways)]
-            sums = pairs.join(state, keys).groupBy(*keys).agg(*[F.sum(term(x)).alias(f"s{k}") for k, x in enumerate(at, 1)])
-            joined = state.join(sums, keys)
-            steps = sum((F.when(above(F.col(f"s{k}"), at[k - 1]), 1).otherwise(0) for k in range(1, ways)), F.lit(0))
+            points = sums(state, of, lambda r: [r.lo + (r.hi - r.lo) * k / ways for k in range(1, ways)])
+            steps = points.join(state, keys).groupBy(*state.columns).agg(F.sum(F.when(above(F.col("s")), 1).otherwise(0)).alias("steps"))
             width = (F.col("hi") - F.col("lo")) / ways
             rest = [c for c in state.columns if c not in ("lo", "hi")]
-            state = cut(joined.select(*rest, (F.col("lo") + width * steps).alias("lo"), (F.col("lo") + width * (steps + 1)).alias("hi")))
+            state = cut(steps.select(*rest, (F.col("lo") + width * F.col("steps")).alias("lo"), (F.col("lo") + width * (F.col("steps") + 1)).alias("hi")))
         return state
 
     groups = pairs.select(*keys).distinct()
-    found = narrow(groups.withColumns({"lo": F.lit(0.0), "hi": F.lit(1.0)}), slope, lambda s, x: s > 0)
+    found = narrow(groups.withColumns({"lo": F.lit(0.0), "hi": F.lit(1.0)}), _score, lambda s: s > 0)
     found = found.select(*keys, ((F.col("lo") + F.col("hi")) / 2).alias("alpha"))
-    best = pairs.join(found, keys).groupBy(*keys, "alpha").agg(F.sum(likelihood(F.col("alpha"))).alias("best"), F.sum(likelihood(F.lit(1e-6))).alias("l0"), F.sum(likelihood(F.lit(1 - 1e-6))).alias("l1"))
-    best = cut(best)
+    found = cut(found)
+    bounds = found.withColumns({"profile_lower": F.lit(None).cast("double"), "profile_upper": F.lit(None).cast("double")})
+    if profile:
+        bounds = _profile(keys, found, narrow, sums, confidence)
+
+    def informed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for key, own in pdf.groupby(list(keys), dropna=False, sort=False):
+                h, a, n = (own[c].to_numpy(float) for c in ("lp_human", "lp_ai", "n"))
+                yield pd.DataFrame([[*key, information(h, a, n, float(own.alpha.iloc[0]), exact)]], columns=[*keys, "part"])
+
+    informations = pairs.join(found, keys).mapInPandas(informed, f"{kinds}, part double").groupBy(*keys).agg(F.sum("part").alias("fisher_info"))
+    return bounds.join(informations, keys).select(*keys, "alpha", "fisher_info", "profile_lower", "profile_upper")
+
+
+def _profile(keys: Sequence[str], found: DataFrame, narrow: Callable, sums: Callable, confidence: float) -> DataFrame:
+    """``found`` with the profile bounds of each group."""
+    points = sums(found, _likelihood, lambda r: [r.alpha, 1e-6, 1 - 1e-6])
+    three = points.groupBy(*keys).agg(*[F.max(F.when(F.col("k") == k, F.col("s"))).alias(c) for k, c in enumerate(("best", "l0", "l1"))])
+    best = cut(found.join(three, keys))
     critical = stats.chi2_value(confidence)
     far = lambda s: 2 * (F.col("best") - s) > critical
-    down = narrow(best.withColumns({"lo": F.lit(1e-6), "hi": F.greatest("alpha", F.lit(1e-6))}), likelihood, lambda s, x: far(s))
-    up = narrow(best.withColumns({"lo": F.least("alpha", F.lit(1 - 1e-6)), "hi": F.lit(1 - 1e-6)}), likelihood, lambda s, x: ~far(s))
+    down = narrow(best.withColumns({"lo": F.lit(1e-6), "hi": F.greatest("alpha", F.lit(1e-6))}), _likelihood, far)
+    up = narrow(best.withColumns({"lo": F.least("alpha", F.lit(1 - 1e-6)), "hi": F.lit(1 - 1e-6)}), _likelihood, lambda s: ~far(s))
     middle = (F.col("lo") + F.col("hi")) / 2
     bounds = down.select(*keys, "alpha", F.when((F.col("alpha") > 1e-6) & far(F.col("l0")), middle).otherwise(1e-6).alias("profile_lower"))
-    bounds = bounds.join(up.select(*keys, F.when((F.col("alpha") < 1 - 1e-6) & far(F.col("l1")), middle).otherwise(1 - 1e-6).alias("profile_upper")), keys)
-
-    def informed(batches):  # noqa: ANN001, ANN202
-        for pdf in batches:
-            parts = [information(np.array([r.lp_human]), np.array([r.lp_ai]), np.array([float(r.n)]), r.alpha, exact) for r in pdf.itertuples()]
-            yield pdf[list(keys)].assign(part=parts)
-
-    joined = pairs.join(found, keys)
-    kinds = ", ".join(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in keys)
-    sums = joined.mapInPandas(informed, f"{kinds}, part double").groupBy(*keys).agg(F.sum("part").alias("fisher_info"))
-    return bounds.join(sums, keys).select(*keys, "alpha", "fisher_info", "profile_lower", "profile_upper")
+    return bounds.join(up.select(*keys, F.when((F.col("alpha") < 1 - 1e-6) & far(F.col("l1")), middle).otherwise(1 - 1e-6).alias("profile_upper")), keys)
 
 
 def estimates(df: DataFrame, keys: Sequence[str], method: str = "fisher_logit", least: int = 10, confidence: float = 0.95, exact: bool = False, at_hand: int = 200_000) -> DataFrame:
@@ -198,7 +209,7 @@ def estimates(df: DataFrame, keys: Sequence[str], method: str = "fisher_logit",
     solved = small.groupBy(*keys).applyInPandas(run, schema)
     large = sizes.where(F.col("distinct") > at_hand).select(*keys)
     if not large.isEmpty():
-        solved = solved.unionByName(_by_passes(cut(pairs.join(large, list(keys), "left_semi")), list(keys), confidence, exact))
+        solved = solved.unionByName(_by_passes(cut(pairs.join(large, list(keys), "left_semi")), list(keys), confidence, exact, method == "profile"))
     found = sizes.drop("distinct").join(solved, list(keys))
     alpha, info = F.col("alpha"), F.col("fisher_info")
     bounds = {"fisher_logit": stats.logit_interval(alpha, info, confidence), "fisher_wald": stats.wald_interval(alpha, info, confidence)}
