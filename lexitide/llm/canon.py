@@ -88,7 +88,7 @@ def distance(a: str, b: str) -> float:
 
 def deletions(word: str, most: int) -> set[str]:
     out = {word}
-    for n in range(1, min(most, len(word) - 1) + 1):
+    for n in range(1, min(most, len(word)) + 1):
         for gone in combinations(range(len(word)), n):
             out.add("".join(c for i, c in enumerate(word) if i not in gone))
     return out

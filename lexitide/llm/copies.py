@@ -24,7 +24,8 @@ DROPPED = r"[^\p{L}\p{N}]+"
 
 def canonical(field: Column) -> Column:
     """``field`` with letters and digits only and without letter case; null becomes empty."""
-    return F.regexp_replace(F.lower(F.upper(F.coalesce(field, F.lit("")))), DROPPED, "")
+    folded = F.translate(F.replace(F.lower(F.coalesce(field, F.lit(""))), F.lit("ß"), F.lit("ss")), "ς", "σ")
+    return F.regexp_replace(folded, DROPPED, "")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -150,7 +150,8 @@ def agreement(a: str, b: str, slips: float = 2.0) -> float:
 
 
 def _grams(form: str, n: int) -> Counter:
-    return Counter(f" {w} "[i : i + n] for w in form.split() for i in range(max(1, len(w) + 3 - n)))
+    """Character n-grams of the words; they mark a word's beginning only, so an abbreviation shares all of its own."""
+    return Counter(f" {w}"[i : i + n] for w in form.split() for i in range(max(1, len(w) + 2 - n)))
 
 
 def similar_pairs(items: DataFrame, form: str, n: int = 3, threshold: float = 0.3, check: Callable[[str, str], float] | None = None) -> DataFrame:

@@ -13,8 +13,8 @@ marked as (
 
 _COPIES = r"""
 with keyed as (
-  select row_no, regexp_replace(lower(upper(coalesce(paper_id, ''))), '[^\p{L}\p{N}]+', '', 'g') as k1,
-         regexp_replace(lower(replace(upper(abstract), 'ß', 'SS')), '[^\p{L}\p{N}]+', '', 'g') as k2
+  select row_no, regexp_replace(lower(coalesce(paper_id, '')), '[^\p{L}\p{N}]+', '', 'g') as k1,
+         regexp_replace(replace(lower(replace(abstract, 'ẞ', 'ß')), 'ß', 'ss'), '[^\p{L}\p{N}]+', '', 'g') as k2
   from paper where regexp_matches(abstract, '[^\s\p{Z}]')),
 grouped as (select row_no, min(row_no) over (partition by k1, k2) as rep from keyed)
 """
