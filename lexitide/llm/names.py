@@ -61,7 +61,7 @@ def forms(name: str) -> list[str]:
         before, inside = m.groups()
         initials = [w[0] for w in _words(before)]
         short = re.sub(r"[^a-z]", "", inside.casefold())
-        if len(_words(inside)) == 1 and inside.isupper() and (len(inside) <= 5 or Counter(short) <= Counter(initials)):
+        if len(inside.split()) == 1 and inside.isupper() and (len(inside) <= 5 or Counter(short) <= Counter(initials)):
             text = before
         else:
             text = inside
@@ -154,7 +154,7 @@ def _grams(form: str, n: int) -> Counter:
     return Counter(f" {w}"[i : i + n] for w in form.split() for i in range(max(1, len(w) + 2 - n)))
 
 
-def similar_pairs(items: DataFrame, form: str, n: int = 3, threshold: float = 0.3, check: Callable[[str, str], float] | None = None) -> DataFrame:
+def similar_pairs(items: DataFrame, form: str, n: int = 3, threshold: float = 0.2, check: Callable[[str, str], float] | None = None) -> DataFrame:
     """(a, b, cosine[, agreed]) with a < b: pairs of distinct forms whose n-gram vectors have a cosine of ``threshold`` or more.
 
     The join is exact: a pair above the threshold shares one of the n-grams that come, rarest first, before the rest of
@@ -317,7 +317,7 @@ def _in_rounds(links: DataFrame, least: float) -> DataFrame:
     return to
 
 
-def link_names(names: DataFrame, name: str, threshold: float = 0.3, least: float = 0.3) -> DataFrame:
+def link_names(names: DataFrame, name: str, threshold: float = 0.2, least: float = 0.3) -> DataFrame:
     """(name, cluster): the group of variants of each distinct non-blank value of ``name``.
 
     Null and blank names are left out; repeated ones count once. Names whose forms are equal are variants; others

@@ -125,6 +125,17 @@ def test_markup(labeller):
         assert cleaned is None or markup.clean(text, found, labels) == cleaned
 
 
+def test_markup_table(spark, monkeypatch, labeller):
+    monkeypatch.setattr(markup, "train", lambda sentences: labeller)
+    rows = [(1, "The <b>trial</b> ran."), (2, None), (3, ""), (4, "plain words"), (5, " \n"), (1, "The <b>trial</b> ran."), (6, "a " * 20_000 + "<p>end</p>")]
+    df = spark.createDataFrame(rows, "k long, kinds string").withColumnRenamed("k", "cleaned").repartition(2)
+    got = markup.label_texts(df, "cleaned", "kinds").toDF("id", "kinds", "text").collect()
+    assert len(got) == len(rows)
+    by = {r.id: (list(r.kinds), r.text) for r in got}
+    assert by[1] == (["html"], "The trial ran.") and by[2] == ([], None) and by[3] == ([], "") and by[4] == ([], "plain words") and by[6][0] == ["html"]
+    assert markup.label_texts(df.limit(0), "cleaned", "kinds").count() == 0
+
+
 def test_markup_held_out(labeller):
     held = markup.made_up(["A plain sentence on soil and water."], 300, seed=77)
     right = total = 0
