@@ -105,7 +105,7 @@ class DeleteIndex:
 
     def near(self, word: str, most: int) -> list[tuple[float, str]]:
         found = {w for d in deletions(word, min(most, self.most)) for w in self.back.get(d, ())}
-        return sorted((x, w) for w in found if (x := distance(word, w)) <= most)
+        return sorted((x, w) for w in found if (x := distance(word, w)) <= 1.2 * most)
 
 
 def _alike(stems: dict[str, str], word: str) -> str:
@@ -127,7 +127,9 @@ class Mapper:
         spread = Counter(k for ks in self.words.values() for k in ks)
         self.weight = {k: math.log(1 + len(self.words) / n) for k, n in spread.items()}
         self.spelled = {w: self.key(w) for text in self.exact for w in text.split() if w not in FILLER and len(w) >= 5}
-        self.by_spelling = DeleteIndex(list(self.spelled), 1)
+        self.inflected = {k + end: k for k in self.weight for end in ("", "s", "ing", "ed", "er", "ning", "ened") if len(k + end) >= 5}
+        self.inflected |= {w: self.key(w) for line in SAME for w in line if len(w) >= 5 and self.key(w) in self.weight}
+        self.by_spelling = DeleteIndex([*self.spelled, *self.inflected], 1)
         self.by_word = DeleteIndex([k for k in self.weight if len(k) >= 4], 1)
         self.uses = {ref: frequency.get(text, 0) for text, ref in self.exact.items()}
 
@@ -144,7 +146,8 @@ class Mapper:
             for x, known in [*self.by_word.near(k, 1), *self.by_word.near(word, 1)]:
                 out[known] = max(out.get(known, 0.0), 0.75 if len(known) < 7 else 1 - 0.05 * x)
         for x, w in self.by_spelling.near(word, 1) if len(word) >= 5 else ():
-            out[self.spelled[w]] = max(out.get(self.spelled[w], 0.0), 1 - 0.08 * x)
+            known, degree = (self.spelled[w], 1 - 0.08 * x) if w in self.spelled else (self.inflected[w], 0.75)
+            out[known] = max(out.get(known, 0.0), degree)
         if not out:
             for known in self.weight:
                 if len(known) >= 5 and known in word or len(k) >= 5 and known.startswith(k):
@@ -169,7 +172,7 @@ class Mapper:
             mass = sum(self.weight[k] for k in keys)
             covered = sum(self.weight[k] * g for k, g in got.items()) / mass if mass else 0.0
             used = sum(any(k in m for k in keys) for m in matches) / max(1, len(words))
-            if covered >= self.cover and (used >= 0.3 or covered >= 0.6):
+            if covered >= 0.6 or covered >= self.cover and used >= 0.3 or covered >= 0.8 * self.cover and used >= 0.5:
                 best = max(best, (round(covered, 6), round(used, 6), self.uses[ref], -ref))
         return -best[3]
 
