@@ -102,7 +102,7 @@ def month_spine(spark: SparkSession, folder: str) -> DataFrame:
 def clean_truncate(spark: SparkSession, folder: str) -> DataFrame:
     """Abstracts as they are sent to a service: stripped, cut, null if blank; dates within the study alone."""
     rows = papers.dated(spark, folder).where(F.col("date").between("2021-01-01", "2025-06-30"))
-    return rows.select("row_no", text.clean_text(F.col("abstract"), 200).alias("abstract"), dates.day_text(F.col("date")).alias("day"))
+    return rows.select("row_no", text.clean_text(F.col("abstract")).alias("abstract"), dates.day_text(F.col("date")).alias("day"))
 
 
 def monthly_sample(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexitide.functions import dates, stats, text
 from lexitide.operators import lookup, means, mixture, prevalence, report, rules
+from lexitide.queries import keywords
 from lexitide.sources import files, services
 from lexitide.streaming.shares import newest_version, windowed_shares
 
@@ -224,3 +225,12 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert windowed_shares(df, "ts", "f").agg(F.sum("count")).first()[0] == 4
+
+
+def test_clean_truncate_cuts_at_the_limit_of_the_service(spark, tmp_path):
+    kinds = "row_no long, paper_id string, abstract string, pub_date string, has_policy boolean, is_oa boolean, policy_category string, country_list string, domain_list string, journal_name string"
+    texts = [" " + "ab " * 400, "x" * 50_000, "y" * 50_007, "  ", None]
+    rows = [(i, "p", t, "2022-03-04", True, True, "c", "", "", "j") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, kinds).write.parquet(str(tmp_path / "paper.parquet"))
+    got = {r.row_no: r.abstract for r in keywords.clean_truncate(spark, str(tmp_path)).collect()}
+    assert got == {0: ("ab " * 400).strip(), 1: "x" * 50_000, 2: "y" * 50_000, 3: None, 4: None}
