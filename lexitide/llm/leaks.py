@@ -9,7 +9,7 @@ sampled position and extended along its diagonal into the longest passage in whi
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -106,114 +106,163 @@ class FMIndex:
 
 @dataclass
 class Items:
-    """Test items in the form in which they are sought."""
+    """Distinct texts of test items in the form in which they are sought."""
 
-    ids: list[int]
+    ids: list[list[int]]  # all items of a text
     words: list[np.ndarray]
-    rare: list[np.ndarray]  # for each word of an item, whether few items hold it
     vocabulary: dict[str, int]
-    phrases: np.ndarray
-    places: dict[int, list[tuple[int, int]]] = field(default_factory=dict)  # phrase number: item and place
-
-
-def prepare(items: list[tuple[int, str]], seed: int, stock: int, few: int) -> Items:
-    """Items with their phrases of ``seed`` words; phrases of more than ``stock`` items are stock phrases."""
-    texts = [(i, WORDS.findall(t.lower())) for i, t in items if t]
-    texts = [(i, w) for i, w in texts if w]
-    vocabulary = {w: k + 2 for k, w in enumerate(sorted({w for _, ws in texts for w in ws}))}
-    spread = Counter(w for _, ws in texts for w in set(ws))
-    seeds: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
-    for k, (_, ws) in enumerate(texts):
-        for j in range(len(ws) - seed + 1):
-            seeds[tuple(vocabulary[w] for w in ws[j : j + seed])].append((k, j))
-    kept = {s: places for s, places in seeds.items() if len({k for k, _ in places}) <= stock}
+    phrases: list[np.ndarray]  # of each length, one to a row
+    places: list[list[list[tuple[int, int]]]] = field(default_factory=list)  # for each phrase: texts and places
+
+
+def prepare(items: list[tuple[int, str]], seed: int, least: int) -> Items:
+    """Items with their phrases of ``seed`` words. A text of fewer than ``least`` words has phrases of one word less, as
+    in it exchanged words can leave none of ``seed``, or is a phrase of its own."""
+    vocabulary: dict[str, int] = {}
+    ids: dict[tuple, list[int]] = defaultdict(list)
+    for i, t in items:
+        words = tuple(vocabulary.setdefault(w, len(vocabulary) + 2) for w in WORDS.findall((t or "").lower()))
+        if words:
+            ids[words].append(i)
+    seeds: dict[int, dict[tuple, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+    for k, ws in enumerate(ids):
+        size = min(len(ws), seed if len(ws) >= least else max(1, seed - 1))
+        for j in range(len(ws) - size + 1):
+            seeds[size][ws[j : j + size]].append((k, j))
     return Items(
-        [i for i, _ in texts],
-        [np.array([vocabulary[w] for w in ws]) for _, ws in texts],
-        [np.array([spread[w] <= few for w in ws]) for _, ws in texts],
+        [sorted(set(i)) for i in ids.values()],
+        [np.array(ws) for ws in ids],
         vocabulary,
-        np.array(list(kept), np.int64).reshape(-1, seed),
-        dict(enumerate(kept.values())),
+        [np.array(list(places), np.int64).reshape(-1, size) for size, places in seeds.items()],
+        [list(places.values()) for places in seeds.values()],
     )
 
 
-def passage(doc: np.ndarray, item: np.ndarray, rare: np.ndarray, at: int, j: int, seed: int, least: int) -> tuple[int, int] | None:
+def passage(doc: np.ndarray, item: np.ndarray, at: int, j: int, seed: int, least: int) -> tuple[int, int] | None:
     """(first, end) in ``doc`` of the passage around a seed that begins at ``doc[at]`` and ``item[j]``.
 
-    It has ``least`` words or more, or is the whole item; of two neighbouring words one at least agrees; most of the
-    words that few items hold agree, and one of them at least.
+    It has ``least`` words or more, or is the whole item; of two neighbouring words one at least agrees, and seven of
+    ten in all.
     """
     back = min(at, j)
     a, b = at - back, j - back
     n = min(len(doc) - a, len(item) - b)
     same = doc[a : a + n] == item[b : b + n]
+    cuts = np.flatnonzero(doc[a : a + n] == 0)  # ends of documents
+    begin = max((c + 1 for c in cuts.tolist() if c < back), default=0)
+    n = min((c for c in cuts.tolist() if c > back), default=n)
     lo = hi = back
-    while lo > 0 and (same[lo - 1] or (lo > 1 and same[lo - 2])):
+    while lo > begin and (same[lo - 1] or (lo > begin + 1 and same[lo - 2])):
         lo -= 1
     hi = back + seed
     while hi < n and (same[hi] or (hi + 1 < n and same[hi + 1])):
         hi += 1
-    if hi - lo < min(least, len(item)):
-        return None
-    inside, marked = same[lo:hi], rare[b + lo : b + hi]
-    if (inside & marked).sum() * 2 <= marked.sum() or inside.mean() < 0.7:
+    if hi - lo < min(least, len(item)) or same[lo:hi].mean() < 0.7:
         return None
     return a + lo, a + hi
 
 
-def _search(shard: np.ndarray, items: Items, bits: int, seed: int, least: int) -> Iterator[tuple[int, int, int]]:
-    """(item, first, end) of the passages of a shard."""
+def _longest_run(same: np.ndarray) -> int:
+    ends = np.flatnonzero(np.diff(np.concatenate([[0], same, [0]])))
+    return int((ends[1::2] - ends[::2]).max(initial=0))
+
+
+def _explained(shard: np.ndarray, words: list[np.ndarray], found: list[tuple[int, int, int, int]], least: int, stock: int) -> Iterator[tuple[int, int, int]]:
+    """(text, first, end) of those of overlapping passages (first, end, text, diagonal) that no other text explains better.
+
+    Another text explains a passage better if it agrees with more of its words; or with as many, and the passage has
+    exchanged words in every stretch of ``least`` and the other's own passage agrees in more words. A passage with whose
+    words more than ``stock`` texts agree alike is a stock phrase.
+    """
+    first, end = found[0][0], max(e for _, e, _, _ in found)
+    agree = np.zeros((len(found), end - first + 1), np.int32)
+    for r, (_, _, k, d) in enumerate(found):
+        lo, hi = max(first, d), min(end, d + len(words[k]))
+        agree[r, lo - first + 1 : hi - first + 1] = shard[lo:hi] == words[k][lo - d : hi - d]
+    sums = agree.cumsum(axis=1)
+    a, e, text = (np.array([f[x] for f in found]) for x in (0, 1, 2))
+    own = sums[np.arange(len(found)), e - first] - sums[np.arange(len(found)), a - first]
+    for c in range(len(found)):
+        score = sums[:, e[c] - first] - sums[:, a[c] - first]
+        other, level = text != text[c], score == own[c]
+        if (score[other] > own[c]).any() or len(set(text[other & level].tolist())) >= stock:
+            continue
+        if (other & level & (own > own[c])).any() and _longest_run(agree[c, a[c] - first + 1 : e[c] - first + 1]) < min(least, len(words[text[c]])):
+            continue
+        yield int(text[c]), int(a[c]), int(e[c])
+
+
+def _search(shard: np.ndarray, items: Items, bits: int, least: int, stock: int) -> Iterator[tuple[int, int, int]]:
+    """(text, first, end) of the passages of a shard."""
     index = FMIndex(shard, bits)
-    lo, hi = index.find(items.phrases)
-    hit = np.flatnonzero(hi > lo)
-    if not len(hit):
-        return
-    rows = np.concatenate([np.arange(lo[p], hi[p]) for p in hit])
-    phrase = np.repeat(hit, hi[hit] - lo[hit])
-    known: dict[tuple[int, int], int] = {}  # item and diagonal: end of the last passage
-    at = index.locate(rows)
-    order = np.argsort(at, kind="stable")
-    for place, p in zip(at[order].tolist(), phrase[order].tolist(), strict=True):
-        for k, j in items.places[p]:
-            if known.get((k, place - j), -1) > place:
-                continue
-            found = passage(shard, items.words[k], items.rare[k], place, j, seed, least)
-            known[k, place - j] = found[1] if found else place + 1
-            if found:
-                yield k, *found
+    found: list[tuple[int, int, int, int]] = []
+    for phrases, places in zip(items.phrases, items.places, strict=True):
+        lo, hi = index.find(phrases)
+        hit = np.flatnonzero(hi > lo)
+        if not len(hit):
+            continue
+        rows = np.concatenate([np.arange(lo[p], hi[p]) for p in hit])
+        phrase = np.repeat(hit, hi[hit] - lo[hit])
+        known: dict[tuple[int, int], int] = {}  # text and diagonal: end of the last passage
+        at = index.locate(rows)
+        order = np.argsort(at, kind="stable")
+        for place, p in zip(at[order].tolist(), phrase[order].tolist(), strict=True):
+            for k, j in places[p]:
+                if known.get((k, place - j), -1) > place:
+                    continue
+                span = passage(shard, items.words[k], place, j, phrases.shape[1], least)
+                known[k, place - j] = span[1] if span else place + 1
+                if span:
+                    found.append((*span, k, place - j))
+    found.sort()
+    group: list[tuple[int, int, int, int]] = []
+    reach = 0
+    for f in found:
+        if group and f[0] >= reach:
+            yield from _explained(shard, items.words, group, least, stock)
+            group = []
+        reach = max(reach, f[1]) if group else f[1]
+        group.append(f)
+    if group:
+        yield from _explained(shard, items.words, group, least, stock)
 
 
 def leaked_spans(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, least: int = 12, seed: int = 3, stock: int = 3, few: int = 3, items_max: int = 100_000) -> DataFrame:
     """(doc_id, item_id, first, last): passages of items in documents, as word numbers from 0.
 
     A passage is the whole item or at least ``least`` successive words of it, case, punctuation and spacing aside, in
-    which single words may have been exchanged. Passages that hold only words and phrases common to more than
-    ``few`` and ``stock`` items are no cases. Items are a held-out set of bounded size (at most ``items_max``) and
+    which single words may have been exchanged. It is no case where another item agrees with more of its words, or
+    more than ``stock`` distinct texts with as many. ``few`` has no effect any more; rare words decide nothing. Items are a held-out set of bounded size (at most ``items_max``) and
     travel with the tasks. Null and empty texts and items match nothing; repeated documents and items each match.
     """
     held = items.select(F.col(item_id).cast("int").alias("i"), F.col(item_text).alias("t")).limit(items_max + 1).collect()
     if len(held) > items_max:
         raise ValueError(f"more than {items_max} items")
-    ready = prepare([(r.i, r.t) for r in held], seed, stock, few)
+    ready = prepare([(r.i, r.t) for r in held], seed, least)
     shared = docs.sparkSession.sparkContext.broadcast(ready)
-    overlap = 2 * max([least, *map(len, ready.words)])
+    longest = max(map(len, ready.words), default=least)
+    # A part keeps the passages that begin in it with the room of a passage on either side for those that overlap them.
+    size = max(SHARD, 6 * longest)
+    step = size - 3 * longest
     bits = max(1, (len(ready.vocabulary) + 2).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         number = known.vocabulary.get
 
-        def search(parts: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
-            sizes = [len(w) + 1 for _, _, w in parts]
+        def search(parts: list[tuple[int, int, np.ndarray, bool]]) -> pa.RecordBatch:
+            sizes = [len(w) + 1 for _, _, w, _ in parts]
             shard = np.zeros(sum(sizes), np.int64)
             starts = np.cumsum([0, *sizes[:-1]])
-            for s, (_, _, w) in zip(starts, parts, strict=True):
+            for s, (_, _, w, _) in zip(starts, parts, strict=True):
                 shard[s : s + len(w)] = w
             out = set()
-            for k, first, end in _search(shard, known, bits, seed, least):
+            for k, first, end in _search(shard, known, bits, least, stock):
                 d = int(np.searchsorted(starts, first, "right")) - 1
-                doc, offset, _ = parts[d]
-                out.add((doc, known.ids[k], offset + first - int(starts[d]), offset + end - 1 - int(starts[d])))
+                doc, offset, _, last = parts[d]
+                first, end = first - int(starts[d]), end - int(starts[d])
+                if (offset == 0 or first >= longest) and (last or first < step + longest):
+                    out |= {(doc, i, offset + first, offset + end - 1) for i in known.ids[k]}
             columns = list(zip(*sorted(out), strict=True)) or [[], [], [], []]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "first", "last"])
 
@@ -221,12 +270,12 @@ def leaked_spans(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
         for batch in batches:
             for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = np.array([number(w, 1) for w in WORDS.findall(t.lower())], np.int64)
-                for offset in range(0, max(1, len(words) - overlap), SHARD - overlap):
-                    part = words[offset : offset + SHARD]
+                for offset in range(0, max(1, len(words) - size + step), step):
+                    part = words[offset : offset + size]
                     if held + len(part) > SHARD and parts:
                         yield search(parts)
                         parts, held = [], 0
-                    parts.append((doc, offset, part))
+                    parts.append((doc, offset, part, offset + size >= len(words)))
                     held += len(part) + 1
         if parts:
             yield search(parts)

@@ -273,6 +273,38 @@ def test_leaks(spark, monkeypatch):
     assert leaks.leaked_spans(d, "doc", "text", items.limit(0), "i", "t").count() == 0
 
 
+def test_leaks_without_agreeing_rare_words(spark):
+    item = "A copy chief in Lonujojal archives the Caluguoid image plate before the embargo ends, and the bugomioid team keeps 17 copies under seal"
+    other = "A copy chief in Tocezoris archives the Wamians image plate before the embargo ends, and the kifuoid team keeps 17 copies under seal"
+    common = [" ".join(random.Random(k).sample("abcdefghijklmnop", 16)) for k in range(5)]  # each word in all items, in other places
+    rows = [(1, item), (2, other), *((10 + i, c) for i, c in enumerate(common)), *((20 + i, "one text under many ids " + "x y z " * 4) for i in range(5)), (30, "Wombat"), (31, "grey wombats sleep by day"), (32, "")]
+    docs = {
+        1: "so before the embargo ends and the THING team keeps 17 copies under seal so",  # the only rare word exchanged
+        2: "so " + common[2] + " so",
+        3: "One text under many ids, x y z x y z x y z x y z.",
+        4: "the wombat",
+        5: "grey wombats rest by day",
+        6: item,
+        7: "before the embargo ends and the team keeps 17 copies under seal",
+    }
+    d, items = spark.createDataFrame(list(docs.items()), "d long, t string"), spark.createDataFrame(rows, "i int, t string")
+    found = defaultdict(set)
+    for r in leaks.leaked_spans(d, "d", "t", items, "i", "t").collect():
+        found[r.doc_id].add(r.item_id)
+    assert found[1] == {1, 2} and found[2] == {12} and found[3] == {20, 21, 22, 23, 24} and found[4] == {30} and found[5] == {31} and found[6] == {1}
+    assert 7 not in found
+
+
+def test_leaks_at_cuts_of_long_documents(spark, monkeypatch):
+    r = random.Random(4)
+    item = " ".join(f"w{i}" for i in range(24))
+    texts = [" ".join(["fill"] * r.randrange(300) + [item] + ["fill"] * r.randrange(300) + [item]) for _ in range(40)]
+    monkeypatch.setattr(leaks, "SHARD", 150)
+    d, items = spark.createDataFrame(list(enumerate(texts)), "d long, t string"), spark.createDataFrame([(1, item)], "i int, t string")
+    got = sorted((x.doc_id, x.first, x.last) for x in leaks.leaked_spans(d, "d", "t", items, "i", "t").collect())
+    assert got == sorted((i, j, j + 23) for i, t in enumerate(texts) for j, w in enumerate(t.split()) if w == "w0")
+
+
 # 10. Garbled text
 
 
