@@ -13,6 +13,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -73,6 +74,22 @@ SPAN_FORMS = {
 FORMS = LINE_FORMS | SPAN_FORMS
 _either = lambda forms: "|".join(f"(?P<{k}>{v})" for k, v in forms.items())
 LEXER = re.compile(rf"^(?:{_either(LINE_FORMS)})|(?=[<&$\\`\[{{*_~='!])(?:{_either(SPAN_FORMS)})", re.M)
+#: Forms of spans of any length, tags over several lines among them. Each stops at the next opening or closing sign, so that
+#: a text is scanned in linear time.
+WIDE_FORMS = {
+    "angle": r"</?[A-Za-z][\w:.-]*(?=\s*/?>|\s[^<>]*=)(?:\s+[\w:.@-]+(?:\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*'|[^\s\"'=<>`]+))?)*+\s*/?>",
+    "dollars": r"\$\$[^$]+\$\$",
+    "dollar": r"\$(?=[^\s$])[^$\n]*?(?<=[^\s$])\$(?!\d)",
+    "paren": r"\\\((?:[^\\]|\\[^(])+?\\\)|\\\[(?:[^\\]|\\[^\[])+?\\\]",
+    "equals": r"(?<!\S)={2,6} [^=\n]+ ={2,6}(?!\S)",
+    "stars": r"\*\*(?=\S)[^*\n]+?(?<=\S)\*\*",
+    "star": r"\*[^*\n]+\*",
+    "unders": r"__(?=\S)[^_\n]+?(?<=\S)__",
+    "underscore": r"_[^_\n<>`*\[\]$\\]+_",
+}
+WIDE_LEXER = re.compile(rf"^(?:{_either(LINE_FORMS)})|(?=[<&$\\`\[{{*_~='!])(?:{_either({k: f'{v}|{WIDE_FORMS[k]}' if k in WIDE_FORMS else v for k, v in SPAN_FORMS.items()})})", re.M)
+#: What a text holds that has a span beyond the lengths of ``SPAN_FORMS``.
+MAYBE_WIDE = re.compile(r"<[^<>\n]*\n[^<>]*>|<[^<>]{301,}>|\$[^$]{201,}\$|\\[(\[](?s:.{401})|\*[^*\n]{201,}\*|_[^_\n]{201,}_|= [^=\n]{81,} =")
 FORM = {k: i + 1 for i, k in enumerate(FORMS)}
 #: Signs without which a text has one leaf only; Java's and Python's syntax for it agree.
 SIGNS = r"[<&$\\`\[{*_#|~>=']|(^|\n)[ \t]*([-+•:;]|\d{1,2}[.)])"
@@ -91,33 +108,81 @@ class Leaf:
     path: tuple[str, ...]
 
 
-def leaves(text: str) -> list[Leaf]:
-    """The leaves of a text in order; they cover it."""
-    out, at, path = [], 0, []
-    for m in LEXER.finditer(text):
+def leaves(text: str, lexer: re.Pattern = LEXER) -> list[Leaf]:
+    """The leaves of a text in order, with the last four of the tags open around each; they cover the text."""
+    out, at, path, within = [], 0, [], Counter()
+
+    def close(name: str) -> None:
+        while within[name]:
+            within[last := path.pop()] -= 1
+            if last == name:
+                return
+
+    for m in lexer.finditer(text):
         if m.start() > at:
-            out.append(Leaf(at, m.start(), "", tuple(path)))
+            out.append(Leaf(at, m.start(), "", tuple(path[-4:])))
         form = m.lastgroup
-        out.append(Leaf(m.start(), m.end(), form, tuple(path)))
+        out.append(Leaf(m.start(), m.end(), form, tuple(path[-4:])))
         at = m.end()
         if form == "angle" and (t := re.match(r"<(/?)([A-Za-z][\w:.-]*)", m.group())):
             name = t.group(2).lower()
             if t.group(1):
-                if name in path:
-                    del path[len(path) - 1 - path[::-1].index(name) :]
-            elif name not in VOID and not m.group().endswith("/>") and len(path) < 32:
+                close(name)
+            elif name not in VOID and not m.group().endswith("/>"):
                 path.append(name)
+                within[name] += 1
         elif form == "env":
             name = m.group().rsplit("{", 1)[1][:-1]
             if m.group().startswith("\\begin"):
                 path.append("\\" + name)
-            elif "\\" + name in path:
-                del path[len(path) - 1 - path[::-1].index("\\" + name) :]
+                within["\\" + name] += 1
+            else:
+                close("\\" + name)
     if at < len(text):
-        out.append(Leaf(at, len(text), "", tuple(path)))
+        out.append(Leaf(at, len(text), "", tuple(path[-4:])))
     return out
 
 
+def is_wide(text: str, leaf: Leaf) -> bool:
+    """Whether a leaf is beyond the lengths of ``SPAN_FORMS``."""
+    return leaf.form in WIDE_FORMS and not re.fullmatch(SPAN_FORMS[leaf.form], text[leaf.start : leaf.end])
+
+
+def _abridged(s: str, form: str) -> str:
+    """A wide span in a length that the labeller has learned: a tag without values, and both ends of others."""
+    if form == "angle":
+        return " ".join(re.sub(r"\"[^\"]*\"|'[^']*'", '""', s).split())
+    return s[:20].rsplit(" ", 1)[0] + " " + s[-20:].split(" ", 1)[-1]
+
+
+def with_wide(text: str, found: list[Leaf], labels: np.ndarray, wide: list[tuple[Leaf, int]]) -> tuple[list[Leaf], np.ndarray]:
+    """Leaves and labels with ``wide`` spans of markup put in: a formula or tag in place of the leaves it covers, only the
+    signs at both ends of an emphasis, as there may be other markup within."""
+    put: list[tuple[int, int, Leaf, int]] = []
+    for leaf, k in wide:
+        if LABELS[k][1] == "emphasis":
+            n = 2 if leaf.form in ("stars", "unders") else 1
+            put += [(leaf.start, leaf.start + n, leaf, k), (leaf.end - n, leaf.end, leaf, k)]
+        else:
+            put.append((leaf.start, leaf.end, leaf, k))
+    out = [(Leaf(a, b, leaf.form, leaf.path), k) for a, b, leaf, k in put]
+    i = 0
+    for leaf, k in zip(found, labels.tolist(), strict=True):
+        while i < len(put) and put[i][1] <= leaf.start:
+            i += 1
+        at, j = leaf.start, i
+        while j < len(put) and put[j][0] < leaf.end:
+            if put[j][0] > at:
+                out.append((Leaf(at, put[j][0], "", leaf.path), 0))
+            at, j = put[j][1], j + 1
+        if at == leaf.start:
+            out.append((leaf, k))
+        elif at < leaf.end:
+            out.append((Leaf(at, leaf.end, "", leaf.path), 0))
+    out.sort(key=lambda x: x[0].start)
+    return [leaf for leaf, _ in out], np.array([k for _, k in out], np.int64)
+
+
 _buckets: dict[str, int] = {}
 
 
@@ -134,6 +199,8 @@ def _features(text: str, found: list[Leaf]) -> tuple[list[list[int]], list[list[
     words, paths, rest = [], [], np.zeros((len(found), len(FORMS) + 1 + FLAGS), np.float32)
     for i, leaf in enumerate(found):
         s = text[leaf.start : leaf.end]
+        if leaf.form in WIDE_FORMS and (len(s) > 60 or "\n" in s) and is_wide(text, leaf):
+            s = _abridged(s, leaf.form)
         words.append([_bucket(w) for w in INNER.findall(s.lower())] or [0])
         paths.append([1 + zlib.crc32(p.encode()) % (PATH_BUCKETS - 1) for p in leaf.path[-4:]] or [0])
         rest[i, FORM.get(leaf.form, 0)] = 1
@@ -262,8 +329,20 @@ class Labeller:
         return loss
 
     def label(self, texts: list[str], batch: int = 256) -> list[tuple[list[Leaf], np.ndarray]]:
-        """Leaves and labels of each text. Texts without a span that may be markup are one leaf of prose."""
-        found = [leaves(t) for t in texts]
+        """Leaves and labels of each text. Texts without a span that may be markup are one leaf of prose.
+
+        Spans of any length are labelled in a second reading; where such a span is prose, what is in it stays as read first.
+        """
+        out = self._label(texts, [leaves(t) for t in texts], batch)
+        found = {k: leaves(t, WIDE_LEXER) for k, t in enumerate(texts) if MAYBE_WIDE.search(t)}
+        found = {k: f for k, f in found.items() if any(is_wide(texts[k], x) for x in f)}
+        for k, (f, labels) in zip(found, self._label([texts[k] for k in found], list(found.values()), batch), strict=True):
+            wide = [(x, n) for x, n in zip(f, labels.tolist(), strict=True) if n and is_wide(texts[k], x)]
+            if wide:
+                out[k] = with_wide(texts[k], *out[k], wide)
+        return out
+
+    def _label(self, texts: list[str], found: list[list[Leaf]], batch: int) -> list[tuple[list[Leaf], np.ndarray]]:
         out = [(f, np.zeros(len(f), np.int64)) for f in found]
         todo = sorted((k for k, f in enumerate(found) if any(x.form for x in f)), key=lambda k: len(found[k]))
         at = 0

@@ -125,6 +125,39 @@ def test_markup(labeller):
         assert cleaned is None or markup.clean(text, found, labels) == cleaned
 
 
+def test_markup_of_any_length(labeller):
+    long = "the results of the survey show that soil water was over the trial in small groups and " * 6
+    formula = "\\alpha = 0.05 + " * 40 + "x"
+    cases = {
+        f'The <img src="a.png" alt="{long}"/> trial ran.': ("html", "The trial ran."),
+        'The <img src="a.png"\n  class="x"/> trial ran.': ("html", "The trial ran."),
+        f"We set ${formula}$ then.": ("latex", f"We set ${formula}$ then."),
+        f"We set \\({formula}\\) then.": ("latex", f"We set ${formula}$ then."),
+        f"We set $$ {formula} $$ then.": ("latex", f"We set $ {formula} $ then."),
+        f"A group <b and {long}then > c was kept.": (None, None),
+        f"A 3*4 plot, {long}5*6 plots.": (None, None),
+    }
+    for (text, (kind, cleaned)), (found, labels) in zip(cases.items(), labeller.label(list(cases)), strict=True):
+        assert {markup.LABELS[k][0] for k in labels} - {""} == ({kind} if kind else set()), text
+        assert "".join(text[x.start : x.end] for x in found) == text
+        assert cleaned is None or markup.clean(text, found, labels) == cleaned
+
+
+def test_wide_spans_leave_what_is_within():
+    text = "a **" + "x " * 200 + "<i>y</i> z** b"
+    found = markup.leaves(text)
+    wide = [(x, markup.LABEL["markdown", "emphasis"]) for x in markup.leaves(text, markup.WIDE_LEXER) if markup.is_wide(text, x)]
+    labels = np.array([markup.LABEL["html", "tag"] * (x.form == "angle") for x in found])
+    both, merged = markup.with_wide(text, found, labels, wide)
+    assert "".join(text[x.start : x.end] for x in both) == text
+    assert markup.clean(text, both, merged) == "a " + "x " * 200 + "y z b"
+
+
+def test_tag_paths_of_any_depth():
+    assert markup.leaves("".join(f"<t{i}>" for i in range(40)) + "x")[-1].path[-1] == "t39"
+    assert markup.leaves("<a><b><c>x</b></z>y")[-1].path == ("a",)
+
+
 def test_markup_table(spark, monkeypatch, labeller):
     monkeypatch.setattr(markup, "train", lambda sentences: labeller)
     rows = [(1, "The <b>trial</b> ran."), (2, None), (3, ""), (4, "plain words"), (5, " \n"), (1, "The <b>trial</b> ran."), (6, "a " * 20_000 + "<p>end</p>")]
