@@ -45,6 +45,9 @@ SAME = [
     ["lay", "plain"],
     ["image", "picture"],
 ]
+#: Share of an entry's weight that is enough alone, and shares of a value's words that must belong to the entry where less
+#: of it, or a fifth less still, is covered.
+BOUNDS = (0.6, 0.3, 0.5)
 ENDINGS = ("isations", "isation", "ications", "ication", "ations", "ation", "enings", "ening", "ings", "ing", "ions", "ion", "ened", "iers", "ier", "ies", "ied", "ers", "er", "ens", "en", "ed", "es", "s", "e", "y")
 
 
@@ -116,19 +119,19 @@ def _alike(stems: dict[str, str], word: str) -> str:
 class Mapper:
     """The reference list in the form in which it is broadcast."""
 
-    def __init__(self, entries: list[tuple[int, str]], frequency: dict[str, int], most: int = 2, cover: float = 0.45):
-        self.cover, self.frequency = cover, frequency
-        self.groups = {stem(w): stem(line[0]) for line in SAME for w in line} | {w: stem(line[0]) for line in SAME for w in line}
+    def __init__(self, entries: list[tuple[int, str]], frequency: dict[str, int], most: int = 2, cover: float = 0.45, same: list[list[str]] = SAME, filler: frozenset[str] = FILLER, bounds: tuple[float, float, float] = BOUNDS):
+        self.cover, self.frequency, self.filler, self.bounds = cover, frequency, filler, bounds
+        self.groups = {stem(w): stem(line[0]) for line in same for w in line} | {w: stem(line[0]) for line in same for w in line}
         self.exact: dict[str, int] = {}
         for ref, label in sorted(entries):
             self.exact.setdefault(plain(label), ref)
         self.whole = DeleteIndex([w for w in self.exact if len(w) > 4], most)
-        self.words = {ref: [k for k in dict.fromkeys(self.key(w) for w in text.split() if w not in FILLER)] for text, ref in self.exact.items()}
+        self.words = {ref: [k for k in dict.fromkeys(self.key(w) for w in text.split() if w not in self.filler)] for text, ref in self.exact.items()}
         spread = Counter(k for ks in self.words.values() for k in ks)
         self.weight = {k: math.log(1 + len(self.words) / n) for k, n in spread.items()}
-        self.spelled = {w: self.key(w) for text in self.exact for w in text.split() if w not in FILLER and len(w) >= 5}
+        self.spelled = {w: self.key(w) for text in self.exact for w in text.split() if w not in self.filler and len(w) >= 5}
         self.inflected = {k + end: k for k in self.weight for end in ("", "s", "ing", "ed", "er", "ning", "ened") if len(k + end) >= 5}
-        self.inflected |= {w: self.key(w) for line in SAME for w in line if len(w) >= 5 and self.key(w) in self.weight}
+        self.inflected |= {w: self.key(w) for line in same for w in line if len(w) >= 5 and self.key(w) in self.weight}
         self.by_spelling = DeleteIndex([*self.spelled, *self.inflected], 1)
         self.by_word = DeleteIndex([k for k in self.weight if len(k) >= 4], 1)
         self.uses = {ref: frequency.get(text, 0) for text, ref in self.exact.items()}
@@ -164,22 +167,25 @@ class Mapper:
         return self.by_words(plain(re.sub(r"\([^()]*\)", " ", value))) or self.by_words(text)
 
     def by_words(self, text: str) -> int:
-        words = [w for w in text.split() if w not in FILLER]
+        words = [w for w in text.split() if w not in self.filler]
         matches = [m for w in words if (m := self.match(w))]
-        best = (0.0, 0.0, 0, 0)
+        best, (alone, some, half) = (0.0, 0.0, 0, 0), self.bounds
         for ref, keys in self.words.items():
             got = {k: max((m[k] for m in matches if k in m), default=0.0) for k in keys}
             mass = sum(self.weight[k] for k in keys)
             covered = sum(self.weight[k] * g for k, g in got.items()) / mass if mass else 0.0
             used = sum(any(k in m for k in keys) for m in matches) / max(1, len(words))
-            if covered >= 0.6 or covered >= self.cover and used >= 0.3 or covered >= 0.8 * self.cover and used >= 0.5:
+            if covered >= alone or covered >= self.cover and used >= some or covered >= 0.8 * self.cover and used >= half:
                 best = max(best, (round(covered, 6), round(used, 6), self.uses[ref], -ref))
         return -best[3]
 
 
-def map_to_list(values: DataFrame, value: str, reference: DataFrame, ref_id: str, label: str, entries_max: int = 100_000) -> DataFrame:
+def map_to_list(values: DataFrame, value: str, reference: DataFrame, ref_id: str, label: str, entries_max: int = 100_000, same: list[list[str]] = SAME, filler: frozenset[str] = FILLER, cover: float = 0.45, bounds: tuple[float, float, float] = BOUNDS) -> DataFrame:
     """``values`` with ``ref_id``: the reference entry that the column ``value`` means, 0 for a miss.
 
+    Values that are neither an entry nor within two slips of one are mapped by their words: ``same`` are groups of words that
+    mean the same in this list, ``filler`` words that mean nothing in it, ``cover`` and ``bounds`` the shares of
+    words that must agree. All should be set for the list at hand; the defaults suit purposes of writing aids.
     Null and blank values are misses. The reference list must be small (at most ``entries_max`` entries, checked)
     as its dictionary is broadcast; of entries spelled alike the smallest number counts. Values themselves are never
     gathered: each task maps its rows and remembers the values that it has seen.
@@ -190,7 +196,7 @@ def map_to_list(values: DataFrame, value: str, reference: DataFrame, ref_id: str
         raise ValueError(f"more than {entries_max} entries")
     known = sorted({r[1] for r in entries})
     uses = values.where(F.col(value).isin(known)).groupBy(F.col(value).alias("v")).count().collect() if known else []  # at most one row an entry
-    shared = spark.sparkContext.broadcast(Mapper([tuple(r) for r in entries], {plain(r[0]): r[1] for r in uses}))
+    shared = spark.sparkContext.broadcast(Mapper([tuple(r) for r in entries], {plain(r[0]): r[1] for r in uses}, cover=cover, same=same, filler=filler, bounds=bounds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mapped = lru_cache(100_000)(shared.value)

@@ -55,7 +55,7 @@ def _usages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_values(spark: SparkSession, folder: str) -> DataFrame:
-    return canon.map_to_list(_usages(spark, folder), "val", table(spark, folder, "usage_canon"), "ref_id", "usage_label")
+    return canon.map_to_list(_usages(spark, folder), "val", table(spark, folder, "usage_canon"), "ref_id", "usage_label", same=canon.SAME, filler=canon.FILLER)
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

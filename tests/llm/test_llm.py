@@ -90,6 +90,15 @@ def test_mapping(spark):
     assert canon.map_to_list(df, "val", ref.limit(0), "n", "label").where("ref_id <> 0").count() == 0
 
 
+def test_mapping_with_own_words(spark):
+    ref = spark.createDataFrame([(1, "Crimson lorry"), (2, "Azure bicycle")], "n int, label string")
+    df = spark.createDataFrame([("the truck, ruby",), ("velo blah azure",)], "val string")
+    refs = lambda **own: [r.ref_id for r in canon.map_to_list(df, "val", ref, "n", "label", **own).orderBy("val").collect()]
+    assert refs() == [0, 2]
+    assert refs(same=[["lorry", "truck"], ["crimson", "ruby"]]) == [1, 2]
+    assert refs(bounds=(1.1, 1.1, 1.1)) == [0, 0]
+
+
 @given(st.text("abc", max_size=8), st.lists(st.text("abc", min_size=1, max_size=8), max_size=8))
 @settings(max_examples=200, deadline=None)
 def test_symmetric_deletes_find_all_within_the_bound(word, known):
