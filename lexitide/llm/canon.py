@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexitide.llm.edits import slips
+
 #: Words that frame a value or belong to no entry's sense.
 FILLER = frozenset("a an and are as at be by doing for from how i in into is it my of on only or our partly some that the their them they to use used using was we were with help helped making manuscript".split())
 #: Words that mean the same in such lists; all stand for the first of their line.
@@ -107,8 +109,10 @@ class DeleteIndex:
                 self.back[d].add(w)
 
     def near(self, word: str, most: int) -> list[tuple[float, str]]:
+        """(weighted distance, string) of the strings within ``most`` edits, nearest first. Edits alone bound the search; the
+        weights rank, and reject what is made of the dearest edits only."""
         found = {w for d in deletions(word, min(most, self.most)) for w in self.back.get(d, ())}
-        return sorted((x, w) for w in found if (x := distance(word, w)) <= 1.2 * most)
+        return sorted((x, w) for w in found if slips(word, w, most) <= most and (x := distance(word, w)) <= 1.2 * most)
 
 
 def _alike(stems: dict[str, str], word: str) -> str:
