@@ -1,11 +1,12 @@
-"""Variant spellings of names: sparse cosine joins of character n-grams and average-linkage clustering.
+"""Variant spellings of names: sparse top-n cosine joins of character n-grams and average-linkage clustering.
 
 Names are reduced to forms (case, signs, legal suffixes and word order aside). Forms become vectors of character
-n-grams, weighed by the squared logarithm of their rarity. A prefix-filtered inverted index, a join on the few rarest n-grams
-that any pair above the threshold must share, finds all pairs above a cosine threshold; no pair is cut off, so n of
-the top-n join is left open. An exact check of the words follows: names of another place, subject, kind or qualifier
-are no variants however alike they look. The links are grouped by average linkage in rounds: clusters that are each
-other's nearest merge, which gives the same tree as merging pair by pair, and no group is gathered in a task.
+n-grams, weighed by their rarity and, as endings are what people abbreviate, by their nearness to the word's beginning. A
+prefix-filtered inverted index, a join on the few rarest n-grams that any pair above the threshold must share, finds all
+pairs above a cosine threshold, of which the n nearest of each name, or all of them, are kept. The cosine decides; a
+comparison of the words may then refine the result by taking links out (bodies of another place, subject, kind or
+qualifier differ in one whole word). The links are grouped by average linkage on their cosines in rounds: clusters that
+are each other's nearest merge, which gives the same tree as merging pair by pair, and no group is gathered in a task.
 """
 
 from __future__ import annotations
@@ -16,51 +17,68 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexitide.llm.edits import slips as _slips
 from lexitide.plans.lineage import cut
 
-#: Legal forms and words without weight.
-LEGAL = frozenset("ltd limited inc incorporated llc plc corp corporation co company gmbh ag kg bv nv sa srl spa ev verlag publishing publ publisher pub".split())
-SMALL = frozenset("the of for and de der des la le el und et in an a".split())
-#: Words that tell what kind of body a name is.
-KINDS = ("universit", "institut", "societ", "associat", "academ", "college", "foundation", "press", "school", "hospital", "center", "centre", "council")
-IMPRINT = re.compile(r"^(.*?)[,;(\s-]+(?:an?\s+)?(?:imprint|division|part|unit|brand|member|subsidiary)\s+of\s+(.+?)\)?$", re.I)
 
+@dataclass(frozen=True)
+class Wording:
+    """Words of a kind of name that make no difference, or that tell which part of a name counts."""
 
-def _words(text: str) -> list[str]:
+    #: Legal forms, dropped from the end.
+    legal: frozenset[str] = frozenset("ltd limited inc incorporated llc plc corp corporation co company gmbh ag kg bv nv sa srl spa ev verlag publishing publ publisher pub".split())
+    #: Words without weight.
+    small: frozenset[str] = frozenset("the of for and de der des la le el und et in an a".split())
+    #: Beginnings of words that tell what kind of body a name is.
+    kinds: tuple[str, ...] = ("universit", "institut", "societ", "associat", "academ", "college", "foundation", "press", "school", "hospital", "center", "centre", "council")
+    #: Words between an imprint and its owner.
+    imprint: tuple[str, ...] = ("imprint", "division", "part", "unit", "brand", "member", "subsidiary")
+    #: Long words of ``small`` and ``legal`` that are known with a slip too.
+    small_slips: tuple[str, ...] = ("of", "for", "the", "and")
+    legal_slips: tuple[str, ...] = ("publishing", "verlag", "limited")
+
+
+#: Wording of publishers' names.
+PUBLISHERS = Wording()
+#: No wording at all: the rules are switched off.
+NO_WORDING = Wording(frozenset(), frozenset(), (), (), (), ())
+
+
+def _words(text: str, wording: Wording) -> list[str]:
     folded = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).casefold()
     folded = re.sub(r"\b([a-z])\.\s?([a-z])\.", r"\1\2", folded)
     words = re.findall(r"[^\W_]+", folded.replace("'", ""))
-    return [w for w in words if w not in SMALL and not (len(w) <= 4 and any(_slips(w, x, 1) <= 1 for x in ("of", "for", "the", "and")))]
+    return [w for w in words if w not in wording.small and not (len(w) <= 4 and any(_slips(w, x, 1) <= 1 for x in wording.small_slips))]
 
 
-def _core(words: list[str]) -> list[str]:
+def _core(words: list[str], wording: Wording) -> list[str]:
     kept = list(words)
-    while len(kept) > 1 and (kept[-1] in LEGAL or len(kept[-1]) > 5 and any(_slips(kept[-1], w, 1) <= 1 for w in ("publishing", "verlag", "limited"))):
+    while len(kept) > 1 and (kept[-1] in wording.legal or len(kept[-1]) > 5 and any(_slips(kept[-1], w, 1) <= 1 for w in wording.legal_slips)):
         kept.pop()
     return kept
 
 
-def forms(name: str) -> list[str]:
+def forms(name: str, wording: Wording = PUBLISHERS) -> list[str]:
     """Forms of a name, each its words sorted behind its first word; the first form is the name as a whole.
 
     A name that says of which publisher it is an imprint has the owner's form alone; where a bracket or a dash may
     part imprint and owner, both readings are given."""
-    text = " ".join(name.split())
-    if m := IMPRINT.match(text):
-        text, readings = m.group(2), []
-    else:
-        readings = []
+    text, readings = " ".join(name.split()), []
+    words = lambda t: _words(t, wording)
+    core = lambda t: _core(words(t), wording)
+    owned = wording.imprint and re.match(rf"^(.*?)[,;(\s-]+(?:an?\s+)?(?:{'|'.join(wording.imprint)})\s+of\s+(.+?)\)?$", text, re.I)
+    if owned:
+        text = owned.group(2)
     if m := re.match(r"^(.*?)\s*\(([^()]*)\)\s*$", text):
         before, inside = m.groups()
-        initials = [w[0] for w in _words(before)]
+        initials = [w[0] for w in words(before)]
         short = re.sub(r"[^a-z]", "", inside.casefold())
         if len(inside.split()) == 1 and inside.isupper() and (len(inside) <= 5 or Counter(short) <= Counter(initials)):
             text = before
@@ -68,18 +86,18 @@ def forms(name: str) -> list[str]:
             text = inside
     elif m := re.match(r"^(.+?)\s+[-–—/]\s+(.+)$", text):
         before, after = m.groups()
-        if not any(any(w.startswith(k[: max(4, len(w))]) or k.startswith(w) and len(w) >= 4 for k in KINDS) for w in _words(before)):
+        kind = [any(w.startswith(k[: max(4, len(w))]) or k.startswith(w) and len(w) >= 4 for k in wording.kinds) for w in words(before)]
+        if not any(kind) and not (core(after) and all(any(w.startswith(k) for k in wording.kinds) for w in core(after))):
             readings.append(after)
-        text = " ".join(_core(_words(after)) + _core(_words(before)))
+        text = " ".join(core(after) + core(before))
     elif text.count(",") == 1:
         before, after = text.split(",")
-        if not set(_words(after)) <= LEGAL:
-            text = " ".join(_core(_words(after)) + _core(_words(before)))
+        if not set(words(after)) <= wording.legal:
+            text = " ".join(core(after) + core(before))
     out = []
     for t in (text, *readings):
-        words = _core(_words(t))
-        if words:
-            out.append(" ".join([words[0], *sorted(words[1:])]))
+        if kept := core(t):
+            out.append(" ".join([kept[0], *sorted(kept[1:])]))
     return list(dict.fromkeys(out))
 
 
@@ -132,31 +150,27 @@ def agreement(a: str, b: str, slips: float = 2.0) -> float:
     return 0.0 if total > slips else 1.0 - 0.15 * total
 
 
-def _grams(form: str, n: int) -> Counter:
-    """Character n-grams of the words; they mark a word's beginning only, so an abbreviation shares all of its own."""
-    return Counter(f" {w}"[i : i + n] for w in form.split() for i in range(max(1, len(w) + 2 - n)))
+#: Weight of each n-gram of a word relative to the one before it.
+DECAY = 0.9
+#: Entries of an n-gram's list that are joined in one task; longer lists are split.
+LISTED = 2_000
 
 
-def similar_pairs(items: DataFrame, form: str, n: int = 3, threshold: float = 0.2, check: Callable[[str, str], float] | None = None) -> DataFrame:
-    """(a, b, cosine[, agreed]) with a < b: pairs of distinct forms whose n-gram vectors have a cosine of ``threshold`` or more.
+def _grams(form: str, n: int) -> dict[str, float]:
+    """Character n-grams of the words with their weights, which fall from each word's beginning to its end; they mark a
+    word's beginning only, so an abbreviation shares all of its own."""
+    out: dict[str, float] = {}
+    for w in form.split():
+        for i in range(max(1, len(w) + 2 - n)):
+            g = f" {w}"[i : i + n]
+            out[g] = out.get(g, 0.0) + DECAY**i
+    return out
 
-    The join is exact: a pair above the threshold shares one of the n-grams that come, rarest first, before the rest of
-    either vector has a norm below the threshold. Of the candidates only those for which ``check`` is above 0, its
-    value being ``agreed``, get their vectors' cosine. Null and empty forms have no partner.
-    """
-    distinct = items.select(F.col(form).alias("f")).where("f <> ''").distinct()
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(f, g, c) for f in batch.column(0).to_pylist() for g, c in _grams(f, n).items()]
-            f, g, c = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(g, pa.string()), pa.array(c, pa.int64())], ["f", "gram", "tf"])
-
-    grams = cut(distinct.mapInArrow(explode, "f string, gram string, tf long"))
-    total = grams.select("f").distinct().count()
-    spread = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    weighed = grams.join(spread, "gram").withColumn("w", F.col("tf") * F.pow(F.log(F.lit(1.0 + total) / F.col("df")), 2))
-    vectors = weighed.groupBy("f").agg(F.array_sort(F.collect_list(F.struct("df", "gram", "w"))).alias("v"))
+def _candidates(vectors: DataFrame, threshold: float, listed: int) -> DataFrame:
+    """(a, b) with a < b: pairs that share one of the n-grams that come, rarest first, before the rest of either vector has
+    a norm below the threshold. The list of an n-gram in more than ``listed`` such prefixes is parted; each two parts
+    meet in a task of their own, so that no list is joined with itself in one task."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,32 +186,69 @@ def similar_pairs(items: DataFrame, form: str, n: int = 3, threshold: float = 0.
                     rest -= x["w"] ** 2
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in out], ["f", "gram"])
 
-    vectors = cut(vectors)
-    heads = vectors.mapInArrow(prefixes, "f string, gram string")
-    pairs = heads.withColumnRenamed("f", "a").join(heads.withColumnRenamed("f", "b"), "gram").where("a < b").select("a", "b").distinct()
-    agreed = ""
-    if check:
+    heads = cut(vectors.mapInArrow(prefixes, "f string, gram string"))
+    lengths = heads.groupBy("gram").agg(F.ceil(F.count("*") / listed).cast("int").alias("parts")).where("parts > 1")
+    parted = heads.join(lengths, "gram", "left").select("f", "gram", F.coalesce("parts", F.lit(1)).alias("parts"))
+    parted = parted.withColumn("own", F.pmod(F.xxhash64("f"), F.col("parts")).cast("int"))
+    meets = parted.select("f", "gram", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    meets = meets.select("f", "gram", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    both = meets.withColumnsRenamed({"f": "a", "own": "oa"}).join(meets.withColumnsRenamed({"f": "b", "own": "ob"}), ["gram", "p", "q"])
+    return both.where("a < b and (p = q or oa <> ob)").select("a", "b").distinct()
 
-        def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                g = pa.array([check(a, b) for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True)], pa.float64())
-                yield pa.RecordBatch.from_arrays([*batch.columns, g], ["a", "b", "agreed"]).filter(pc.greater(g, 0.0))
 
-        pairs, agreed = cut(pairs.mapInArrow(checked, "a string, b string, agreed double")), ", agreed double"
+def similar_pairs(items: DataFrame, form: str, n: int = 3, threshold: float = 0.4, power: float = 2.0, top: int | None = None, check: Callable[[str, str], float] | None = None, listed: int = LISTED) -> DataFrame:
+    """(a, b, cosine[, agreed]) with a < b: pairs of distinct forms whose n-gram vectors have a cosine of ``threshold`` or more.
+
+    An n-gram weighs its place in the word times the logarithm of its rarity to the ``power``. The join is exact. With
+    ``top``, a pair is kept if it is among the ``top`` nearest of either form, equal ones by name; None, the default,
+    keeps all. ``check`` refines the pairs that are left: only those where it is above 0, its value being ``agreed``, stay.
+    Null and empty forms have no partner.
+    """
+    distinct = items.select(F.col(form).alias("f")).where("f <> ''").distinct()
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(f, g, c) for f in batch.column(0).to_pylist() for g, c in _grams(f, n).items()]
+            f, g, c = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(g, pa.string()), pa.array(c, pa.float64())], ["f", "gram", "tf"])
+
+    grams = cut(distinct.mapInArrow(explode, "f string, gram string, tf double"))
+    total = grams.select("f").distinct().count()
+    spread = grams.groupBy("gram").agg(F.count("*").alias("df"))
+    weighed = grams.join(spread, "gram").withColumn("w", F.col("tf") * F.pow(F.log(F.lit(1.0 + total) / F.col("df")), power))
+    vectors = cut(weighed.groupBy("f").agg(F.array_sort(F.collect_list(F.struct("df", "gram", "w"))).alias("v")))
+    pairs = _candidates(vectors, threshold, listed)
     both = pairs.join(vectors.select(F.col("f").alias("a"), F.col("v").alias("va")), "a").join(vectors.select(F.col("f").alias("b"), F.col("v").alias("vb")), "b")
 
     def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            va, vb = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("va", "vb"))
-            out = []
-            for p, q in zip(va, vb, strict=True):
-                x, y = {e["gram"]: e["w"] for e in p}, {e["gram"]: e["w"] for e in q}
-                dot = sum(w * y.get(g, 0.0) for g, w in x.items())
-                out.append(dot / math.sqrt(sum(w * w for w in x.values()) * sum(w * w for w in y.values())))
-            kept = ["a", "b", *(["agreed"] if agreed else [])]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(out, pa.float64())], [*kept, "cosine"])
+            a, b, va, vb = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a", "b", "va", "vb"))
+            out: tuple[list, list, list] = ([], [], [])
+            for f, g, p, q in zip(a, b, va, vb, strict=True):
+                y = {e["gram"]: e["w"] for e in q}
+                dot = sum(e["w"] * y.get(e["gram"], 0.0) for e in p)
+                cosine = dot / math.sqrt(sum(e["w"] ** 2 for e in p) * sum(e["w"] ** 2 for e in q)) if dot else 0.0
+                if cosine >= threshold:
+                    for column, x in zip(out, (f, g, cosine), strict=True):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.float64()), strict=True)], ["a", "b", "cosine"])
+
+    near = both.mapInArrow(cosines, "a string, b string, cosine double")
+    if top is not None:
+        near = cut(near)
+        ends = near.select(F.col("a").alias("x"), "*").unionByName(near.select(F.col("b").alias("x"), "*"))
+        w = Window.partitionBy("x").orderBy(F.desc("cosine"), "a", "b")
+        near = ends.withColumn("k", F.row_number().over(w)).where(F.col("k") <= top).select("a", "b", "cosine").distinct()
+    if check is None:
+        return near
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g = [check(a, b) for a, b in zip(*(c.to_pylist() for c in batch.columns[:2]), strict=True)]
+            kept = pa.array([x > 0 for x in g], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(g, pa.float64())], ["a", "b", "cosine", "agreed"]).filter(kept)
 
-    return both.mapInArrow(cosines, f"a string, b string{agreed}, cosine double").where(F.col("cosine") >= threshold)
+    return near.mapInArrow(checked, "a string, b string, cosine double, agreed double")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -217,14 +268,18 @@ def components(links: DataFrame) -> DataFrame:
             return label.toDF("item", "component")
 
 
-def _tree(links: list[tuple[str, str, float]], least: float) -> dict[str, str]:
+#: Similarities are added up as whole numbers of this size for 1, so that sums do not depend on their order.
+UNIT = 1_000_000_000
+
+
+def _tree(links: list[tuple[str, str, int]], least: int) -> dict[str, str]:
     """Cluster of each item of a small component, by merging the nearest pair again and again."""
-    near: dict[str, dict[str, float]] = {}
+    near: dict[str, dict[str, int]] = {}
     for a, b, s in links:
         near.setdefault(a, {})[b] = s
         near.setdefault(b, {})[a] = s
     size, parts = dict.fromkeys(near, 1), {a: [a] for a in near}
-    heap = [(-round(s, 12), a, b, 1, 1) for a, b, s in links if s >= least]
+    heap = [(-s, a, b, 1, 1) for a, b, s in links if s >= least]
     heapq.heapify(heap)
     while heap:
         _, a, b, na, nb = heapq.heappop(heap)
@@ -234,11 +289,11 @@ def _tree(links: list[tuple[str, str, float]], least: float) -> dict[str, str]:
         size[a] += size.pop(b)
         for c, s in near.pop(b).items():
             if c != a:
-                near[a][c] = near[c][a] = near[a].get(c, 0.0) + s
+                near[a][c] = near[c][a] = near[a].get(c, 0) + s
                 del near[c][b]
         del near[a][b]
         for c, s in near[a].items():
-            mean = round(s / (size[a] * size[c]), 12)
+            mean = s / (size[a] * size[c])
             if mean >= least:
                 heapq.heappush(heap, (-mean, *sorted((a, c)), *(size[x] for x in sorted((a, c)))))
     return {x: a for a, xs in parts.items() for x in xs}
@@ -252,7 +307,8 @@ def average_linkage(items: DataFrame, item: str, links: DataFrame, least: float,
     of clusters that are each other's nearest, which average linkage allows in any order, so that no large
     component is gathered. Items without links are clusters of their own.
     """
-    links = cut(links.groupBy("a", "b").agg(F.max("s").alias("s")))
+    links = cut(links.groupBy("a", "b").agg(F.round(F.max("s") * UNIT).cast("long").alias("s")))
+    least = round(least * UNIT)
     placed = links.join(components(links), F.col("a") == F.col("item")).drop("item")
     sizes = placed.groupBy("component").agg(F.count("*").alias("size"))
     sized = cut(placed.join(sizes, "component"))
@@ -269,14 +325,14 @@ def average_linkage(items: DataFrame, item: str, links: DataFrame, least: float,
     return member.join(to, F.col("item") == F.col("old"), "left").select("item", F.coalesce("new", "item").alias("cluster"))
 
 
-def _in_rounds(links: DataFrame, least: float) -> DataFrame:
+def _in_rounds(links: DataFrame, least: int) -> DataFrame:
     """(old, new): the cluster of each item that some merge moved."""
     one = F.lit(1).cast("long")
-    edges = cut(links.groupBy("a", "b").agg(F.max("s").alias("s")).select("a", "b", "s", one.alias("na"), one.alias("nb")))
+    edges = cut(links.select("a", "b", "s", one.alias("na"), one.alias("nb")))
     merges = []
     while True:
         ends = F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("a").alias("x"), F.col("b").alias("y"), "na", "nb"), F.struct(F.col("b").alias("c"), F.col("a").alias("x"), F.col("b").alias("y"), "na", "nb")))
-        scored = edges.withColumn("far", -F.round(F.col("s") / (F.col("na") * F.col("nb")), 12)).where(F.col("far") <= -least).select("far", ends.alias("e"))
+        scored = edges.withColumn("far", -(F.col("s").cast("double") / (F.col("na") * F.col("nb")).cast("double"))).where(F.col("far") <= -least).select("far", ends.alias("e"))
         # Of equally near ones the pair of the least names counts, by one order for both its ends.
         nearest = scored.groupBy("e.c").agg(F.min(F.struct("far", "e.x", "e.y", "e.na", "e.nb")).alias("p"))
         merged = nearest.groupBy("p.x", "p.y").agg(F.count("*").alias("k"), F.first(F.col("p.na") + F.col("p.nb")).alias("n"))
@@ -300,32 +356,31 @@ def _in_rounds(links: DataFrame, least: float) -> DataFrame:
     return to
 
 
-def link_names(names: DataFrame, name: str, threshold: float = 0.2, least: float = 0.3) -> DataFrame:
+def link_names(names: DataFrame, name: str, threshold: float = 0.35, least: float = 0.1, top: int | None = None, check: Callable[[str, str], float] | None = agreement, wording: Wording = PUBLISHERS, n: int = 4) -> DataFrame:
     """(name, cluster): the group of variants of each distinct non-blank value of ``name``.
 
     Null and blank names are left out; repeated ones count once. Names whose forms are equal are variants; others
-    are linked by ``similar_pairs``, ``agreement`` and ``average_linkage``.
+    are linked by ``similar_pairs`` on n-grams of ``n`` characters and grouped by ``average_linkage`` on their cosines.
+    ``check`` takes out links between names that differ in a whole word; None leaves all decisions to the cosine. ``top``
+    keeps the nearest links of each name alone; None keeps all. ``wording`` holds the words of this kind of name.
     """
     distinct = names.select(F.col(name).alias("name")).where(F.col("name").rlike(r"[^\s\p{Z}]")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(n, fs[0], f) for n in batch.column(0).to_pylist() for fs in [forms(n) or [n]] for f in fs]
-            n, f, g = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (n, f, g)], ["name", "form", "reading"])
+            rows = [(x, fs[0], f) for x in batch.column(0).to_pylist() for fs in [forms(x, wording) or [x]] for f in fs]
+            x, f, g = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (x, f, g)], ["name", "form", "reading"])
 
     known = cut(distinct.mapInArrow(run, "name string, form string, reading string"))
-    pairs = similar_pairs(known, "reading", threshold=threshold, check=agreement)
-    checked = cut(pairs.select("a", "b", ((F.col("agreed") + F.col("cosine")) / 2).alias("s")))
-    # A reading other than the first is a form's alias: links of both count as links of the form.
-    alias = known.select("form", "reading").distinct()
-    own = alias.where("form <> reading").select(F.col("form").alias("a"), F.col("reading").alias("b"), F.lit(0.9).alias("s"))
-    form = known.select("form").distinct()
-    exact = own.join(form, F.col("b") == F.col("form"), "left_semi")
-    via_a = checked.join(alias.where("form <> reading"), F.col("a") == F.col("reading")).select(F.col("form").alias("a"), "b", "s")
-    via_b = checked.join(alias.where("form <> reading"), F.col("b") == F.col("reading")).select("a", F.col("form").alias("b"), "s")
-    links = checked.unionByName(via_a).unionByName(via_b).unionByName(exact).where("a <> b")
-    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s")
-    links = links.join(form.withColumnRenamed("form", "a"), "a", "left_semi").join(form.withColumnRenamed("form", "b"), "b", "left_semi")
-    grouped = average_linkage(form, "form", links, least)
-    return known.select("name", "form").distinct().join(grouped, F.col("form") == F.col("item")).select("name", "cluster")
+    links = cut(similar_pairs(known, "reading", n, threshold, 1.0, top, check).select("a", "b", F.col("cosine").alias("s")))
+    # A name with a second reading goes by that where it is another name's first form or linked to one, else by its first.
+    readings, first = known.select("form", "reading").distinct(), known.select("form").distinct()
+    ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    met = ends.join(first, F.col("b") == F.col("form"), "left_semi").select(F.col("a").alias("reading")).unionByName(first.toDF("reading")).distinct()
+    owners = readings.where("form <> reading").join(met, "reading", "left_semi").groupBy("form").agg(F.min("reading").alias("owner"))
+    placed = cut(known.select("name", "form").distinct().join(owners, "form", "left").select("name", F.coalesce("owner", "form").alias("node")))
+    nodes = placed.select("node").distinct()
+    linked = links.join(nodes.withColumnRenamed("node", "a"), "a", "left_semi").join(nodes.withColumnRenamed("node", "b"), "b", "left_semi")
+    grouped = average_linkage(nodes, "node", linked, least)
+    return placed.join(grouped, F.col("node") == F.col("item")).select("name", "cluster")
