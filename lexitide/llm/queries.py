@@ -9,6 +9,8 @@ from lexitide.llm import canon, copies, language, leaks, markup, mojibake, names
 from lexitide.llm.sql import SQL as SQL
 from lexitide.sources.tables import table
 
+#: Terms of the suffixes from whose prefixes single terms are counted.
+SUFFIX = 2
 #: A text with more than white space.
 NON_BLANK = r"[^\s\p{Z}]"
 
@@ -16,21 +18,19 @@ NON_BLANK = r"[^\s\p{Z}]"
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     paper = table(spark, folder, "paper")
     n_records = paper.where("abstract is not null").count()
-    marked = termfreq.mark_terms(termfreq.term_frequencies(paper, "abstract"), n_records)
+    marked = termfreq.mark_terms(termfreq.term_frequencies(paper, "abstract", SUFFIX, longest=1), n_records)
     return marked.where("mark <> 'useful'").select("term", "mark")
 
 
 def p1_terms(spark: SparkSession, folder: str) -> DataFrame:
     paper = table(spark, folder, "paper")
     n_records = paper.where("abstract is not null").count()
-    return termfreq.mark_terms(termfreq.term_frequencies(paper, "abstract"), n_records)
+    return termfreq.mark_terms(termfreq.term_frequencies(paper, "abstract", SUFFIX, longest=1), n_records)
 
 
 def p1_phrases(spark: SparkSession, folder: str) -> DataFrame:
-    """Word sequences of up to three terms that occur in at least a hundredth of the records."""
-    paper = table(spark, folder, "paper")
-    n_records = paper.where("abstract is not null").count()
-    return termfreq.term_frequencies(paper, "abstract", max_len=3).where(F.col("records") * 100 >= n_records)
+    """Every word sequence of up to three terms with its numbers of occurrences and records."""
+    return termfreq.term_frequencies(table(spark, folder, "paper"), "abstract", max_len=3)
 
 
 def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
