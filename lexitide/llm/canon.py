@@ -1,10 +1,11 @@
 """Mapping of freely entered values to a list of reference entries.
 
-A symmetric-delete dictionary (all strings that arise from a reference string by up to d deletions, pointing back to
-it) is broadcast; a value's own deletions then find every reference string within edit distance d without a scan of
+A symmetric-delete dictionary (all strings that arise from the beginning of a reference string by up to d deletions, pointing
+back to it) is broadcast; a value's own deletions then find every reference string within edit distance d without a scan of
 the list. Candidates are ranked by a weighted Damerau-Levenshtein distance and by how often the entry is used as
 written. Values that are no misspelling of a whole entry are matched by words, each word through a second dictionary of
-the same kind, and rank by the share of the entry's word weights that they cover. The rest is reported as a miss.
+the same kind; an index of the entries' words gives the entries that can be covered enough, ranked by the share of
+the entry's word weights that the value covers. The rest is reported as a miss.
 """
 
 from __future__ import annotations
@@ -12,11 +13,14 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import zlib
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -99,19 +103,26 @@ def deletions(word: str, most: int) -> set[str]:
     return out
 
 
+#: Characters of a string whose deletions are kept: strings within d edits have beginnings with a common deletion of d.
+BEGINNING = 12
+
+
 class DeleteIndex:
-    """Strings by their deletions."""
+    """Strings by the deletions of their beginnings, as sorted arrays of hash values: equal ones are compared in full."""
 
     def __init__(self, words: list[str], most: int):
-        self.most, self.back = most, defaultdict(set)
-        for w in words:
-            for d in deletions(w, most):
-                self.back[d].add(w)
+        self.most, self.words = most, list(dict.fromkeys(words))
+        pairs = [(zlib.crc32(d.encode("utf-8", "surrogatepass")), k) for k, w in enumerate(self.words) for d in deletions(w[:BEGINNING], most)]
+        hashes, owners = (np.array([p[x] for p in pairs], t) for x, t in ((0, np.uint32), (1, np.int32)))
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.owners = hashes[order], owners[order]
 
     def near(self, word: str, most: int) -> list[tuple[float, str]]:
         """(weighted distance, string) of the strings within ``most`` edits, nearest first. Edits alone bound the search; the
         weights rank, and reject what is made of the dearest edits only."""
-        found = {w for d in deletions(word, min(most, self.most)) for w in self.back.get(d, ())}
+        own = np.array([zlib.crc32(d.encode("utf-8", "surrogatepass")) for d in deletions(word[:BEGINNING], min(most, self.most))], np.uint32)
+        lo, hi = np.searchsorted(self.hashes, own, "left").tolist(), np.searchsorted(self.hashes, own, "right").tolist()
+        found = {self.words[k] for a, b in zip(lo, hi, strict=True) if b > a for k in self.owners[a:b].tolist()}
         return sorted((x, w) for w in found if slips(word, w, most) <= most and (x := distance(word, w)) <= 1.2 * most)
 
 
@@ -139,6 +150,18 @@ class Mapper:
         self.by_spelling = DeleteIndex([*self.spelled, *self.inflected], 1)
         self.by_word = DeleteIndex([k for k in self.weight if len(k) >= 4], 1)
         self.uses = {ref: frequency.get(text, 0) for text, ref in self.exact.items()}
+        self.ordered = sorted(k for k in self.weight if len(k) >= 5)
+        self.longest = max(map(len, self.weight), default=0)
+        self.mass = {ref: sum(self.weight[k] for k in keys) for ref, keys in self.words.items()}
+        # An entry is listed under its weightiest keys alone: one whose other keys only are matched is not covered enough.
+        least, self.listed = min(bounds[0], cover, 0.8 * cover), defaultdict(list)
+        for ref, keys in self.words.items():
+            rest = self.mass[ref]
+            for k in sorted(keys, key=lambda k: (-self.weight[k], k)):
+                if rest < least * self.mass[ref] * (1 - 1e-9):
+                    break
+                self.listed[k].append(ref)
+                rest -= self.weight[k]
 
     def key(self, word: str) -> str:
         return _alike(self.groups, word)
@@ -156,9 +179,12 @@ class Mapper:
             known, degree = (self.spelled[w], 1 - 0.08 * x) if w in self.spelled else (self.inflected[w], 0.75)
             out[known] = max(out.get(known, 0.0), degree)
         if not out:
-            for known in self.weight:
-                if len(known) >= 5 and known in word or len(k) >= 5 and known.startswith(k):
-                    out[known] = 0.95
+            out = {part: 0.95 for i in range(len(word) - 4) for j in range(i + 5, min(len(word), i + self.longest) + 1) if (part := word[i:j]) in self.weight}
+            if len(k) >= 5:
+                at = bisect_left(self.ordered, k)
+                while at < len(self.ordered) and self.ordered[at].startswith(k):
+                    out[self.ordered[at]] = 0.95
+                    at += 1
         return out
 
     def __call__(self, value: str) -> int:
@@ -174,10 +200,13 @@ class Mapper:
         words = [w for w in text.split() if w not in self.filler]
         matches = [m for w in words if (m := self.match(w))]
         best, (alone, some, half) = (0.0, 0.0, 0, 0), self.bounds
-        for ref, keys in self.words.items():
-            got = {k: max((m[k] for m in matches if k in m), default=0.0) for k in keys}
-            mass = sum(self.weight[k] for k in keys)
-            covered = sum(self.weight[k] * g for k, g in got.items()) / mass if mass else 0.0
+        degree: dict[str, float] = {}
+        for m in matches:
+            for k, g in m.items():
+                degree[k] = max(degree.get(k, 0.0), g)
+        for ref in {ref for k in degree for ref in self.listed.get(k, ())}:
+            keys = self.words[ref]
+            covered = sum(self.weight[k] * degree.get(k, 0.0) for k in keys) / self.mass[ref]
             used = sum(any(k in m for k in keys) for m in matches) / max(1, len(words))
             if covered >= alone or covered >= self.cover and used >= some or covered >= 0.8 * self.cover and used >= half:
                 best = max(best, (round(covered, 6), round(used, 6), self.uses[ref], -ref))

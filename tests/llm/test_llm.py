@@ -106,6 +106,47 @@ def test_symmetric_deletes_find_all_within_the_bound(word, known):
     assert near == {w for w in known if names._slips(word, w, 2) <= 2 and canon.distance(word, w) <= 2.4}
 
 
+@given(st.text("abcd", max_size=30), st.lists(st.text("abcd", min_size=1, max_size=30), max_size=6), st.integers(0, 29), st.sampled_from("abcd"))
+@settings(max_examples=200, deadline=None)
+def test_deletions_of_beginnings_find_long_strings(word, known, at, c):
+    known = [*known, word[:at] + c + word[at:], word[:at] + word[at + 1 :] or "a"]
+    near = {w for _, w in canon.DeleteIndex(known, 2).near(word, 2)}
+    assert near == {w for w in known if names._slips(word, w, 2) <= 2 and canon.distance(word, w) <= 2.4}
+
+
+def _scan(m, text):
+    """The entry that words cover best, by a look at every entry and every known word."""
+    words = [w for w in text.split() if w not in m.filler]
+    matches = []
+    for w in words:
+        found = m.match(w)
+        if w not in m.weight and m.key(w) not in m.weight and set(found.values()) <= {0.95}:
+            k = m.key(w)
+            assert found == {x: 0.95 for x in m.weight if len(x) >= 5 and x in w or len(k) >= 5 and len(x) >= 5 and x.startswith(k)}
+        if found:
+            matches.append(found)
+    best, (alone, some, half) = (0.0, 0.0, 0, 0), m.bounds
+    for ref, keys in m.words.items():
+        mass = sum(m.weight[k] for k in keys)
+        covered = sum(m.weight[k] * max((x[k] for x in matches if k in x), default=0.0) for k in keys) / mass if mass else 0.0
+        used = sum(any(k in x for k in keys) for x in matches) / max(1, len(words))
+        if covered >= alone or covered >= m.cover and used >= some or covered >= 0.8 * m.cover and used >= half:
+            best = max(best, (round(covered, 6), round(used, 6), m.uses[ref], -ref))
+    return -best[3]
+
+
+def test_index_of_words_against_a_scan():
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("bdfklmnprst") + r.choice("aeiou") for _ in range(r.randint(2, 4))) for _ in range(60)]
+    m = canon.Mapper([(i, " ".join(r.choice(vocabulary) for _ in range(r.randint(1, 5)))) for i in range(1, 120)], {})
+    hits = 0
+    for _ in range(400):
+        text = " ".join(w + r.choice(["", "", "s", "ing", "xx"]) for w in r.choices([*vocabulary, "other", "words"], k=r.randint(1, 5)))
+        assert m.by_words(text) == _scan(m, text)
+        hits += m.by_words(text) > 0
+    assert hits > 50 and m.by_words("q" * 100_000) == 0
+
+
 # 4. Markup
 
 
