@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import codecs
 import re
+import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -27,10 +28,15 @@ from lexitide.plans.lineage import cut
 #: Encodings in which text was written, and those with which it may have been read.
 WRITTEN = ("utf-8", "cp1252", "cp850", "mac_roman")
 READ = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "iso8859-2", "iso8859-5", "iso8859-15", "koi8-r", "cp1253", "cp1254", "cp866")
-#: Clean two-byte characters that an inversion may give: Latin, basic Greek, basic Cyrillic.
-PLAUSIBLE = ((0x80, 0x17F), (0x2C6, 0x2DD), (0x300, 0x304), (0x391, 0x3C9), (0x410, 0x451))
+#: Scripts whose letters stand alone in texts of other scripts; letters of the rest need a neighbour of their own script.
+ALONE = ("LATIN", "GREEK", "CYRILLIC")
 LOST = re.compile("[�\x80-\x84\x86-\x9f]")
-WORD = re.compile(r"\S*[^\x00-\x7f]\S*")
+FOREIGN = re.compile("[^\x00-\x7f]+")
+LETTER = re.compile(r"[^\x00-\x7f\s]+")
+#: ASCII letters that a word with its neighbours must hold, by which near-twins are told from words that only lack letters.
+ANCHORS = 2
+#: Spellings of one key that are compared in one task; more are parted.
+LISTED = 10_000
 
 
 @cache
@@ -76,6 +82,28 @@ def explanations(garbled: str, clean: str) -> list[str]:
     return out
 
 
+@cache
+def _script(c: str) -> str:
+    """Script of a letter or mark by its name, Latin for all below Greek; empty for other characters."""
+    if unicodedata.category(c)[0] not in "LM":
+        return ""
+    return "LATIN" if c < "\u0370" else unicodedata.name(c, "").split(" ")[0]
+
+
+def foreign_words(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the words of ``text`` with a non-ASCII character, in time proportional to its length."""
+    end = 0
+    for m in LETTER.finditer(text):
+        if m.start() < end:
+            continue
+        start, end = m.start(), m.end()
+        while start > 0 and not text[start - 1].isspace():
+            start -= 1
+        while end < len(text) and not text[end].isspace():
+            end += 1
+        yield start, end
+
+
 def strip(text: str) -> str:
     return re.sub(r"[^\x00-\x7f]+", "", text)
 
@@ -119,28 +147,70 @@ class Repair:
                 self.single.append(back)
 
     @staticmethod
-    def _decode(m: re.Match, table: dict[str, int]) -> str:
-        raw = bytes(table[c] for c in m.group())
-        try:
-            c = raw.decode("utf-8")
-        except UnicodeDecodeError:
-            return m.group()
-        if len(raw) == 2 and not any(lo <= ord(c) <= hi for lo, hi in PLAUSIBLE):
-            return m.group()
-        return c
+    def _decode(run: str, lone: Callable[[str], bool], pattern: re.Pattern, table: dict[str, int]) -> tuple[int, str]:
+        """How many characters of a run of non-ASCII characters belong to sequences of bytes, and the run with these read.
+
+        A sequence that begins with a letter of another script than Latin counts only if the run has nothing else, as words of
+        that script have such sequences by chance; if it is two characters and the whole run, ``lone`` of the script decides. A
+        letter of a script that does not stand alone needs another one of it next to it.
+        """
+        pieces: list[tuple[str, str]] = []  # as it stands, and as read
+        at, foreign = 0, ""
+        for m in pattern.finditer(run):
+            try:
+                c = bytes(table[x] for x in m.group()).decode("utf-8")
+            except UnicodeDecodeError:
+                continue
+            pieces += [(x, x) for x in run[at : m.start()]]
+            pieces.append((m.group(), c))
+            foreign = foreign or (x if (x := _script(m.group()[0])) != "LATIN" else "")
+            at = m.end()
+        pieces += [(x, x) for x in run[at:]]
+        if foreign and (any(a == b for a, b in pieces) or len(run) == 2 and not lone(foreign)):
+            return 0, run
+        scripts = ["", *(_script(b) for _, b in pieces), ""]
+        read = [b if len(a) > 2 or s in ("", *ALONE) or s in (scripts[k], scripts[k + 2]) else a for k, ((a, b), s) in enumerate(zip(pieces, scripts[1:-1], strict=True))]
+        return sum(len(a) for (a, _), b in zip(pieces, read, strict=True) if a != b), "".join(read)
+
+    def _undo(self, run: str, lone: Callable[[str], bool]) -> str:
+        """A run with multi-byte transformations undone, each time the one that explains most of it, until none explains any;
+        as every time makes the run shorter, this ends."""
+        while True:
+            count, read = max((self._decode(run, lone, *t) for t in self.multi), key=lambda x: x[0], default=(0, run))
+            if not count:
+                return run
+            run = read
 
     def __call__(self, text: str) -> tuple[bool, str, bool]:
-        """Whether ``text`` is garbled, its restored form, and whether nothing stays lost."""
-        now = text
-        for _ in range(4):
-            before = now
-            for pattern, table in self.multi:
-                now = pattern.sub(lambda m, table=table: self._decode(m, table), now)
-            if now == before:
-                break
-        if now == text:
-            now = self._single(now)
-        return now != text or LOST.search(text) is not None, now, LOST.search(now) is None
+        """Whether ``text`` is garbled, its restored form, and whether nothing stays lost.
+
+        After the multi-byte transformations, single-byte ones are undone in the text as a whole or in single words of it.
+        """
+        native: set[str] | None = None
+
+        def undo(m: re.Match) -> str:
+            def lone(script: str) -> bool:
+                """Whether a run of one sequence is beside a Latin letter, or no other run of the text is a word of its script."""
+                nonlocal native
+                if text[m.start() - 1 : m.start()].isalpha() or text[m.end() : m.end() + 1].isalpha():
+                    return True
+                if native is None:
+                    left = (c for r in FOREIGN.findall(text) if len(r) != 2 and not any(self._decode(r, lambda s: True, *t)[0] == len(r) for t in self.multi) for c in r)
+                    native = {_script(c) for c in left}
+                return script not in native
+
+            return self._undo(m.group(), lone)
+
+        now = FOREIGN.sub(undo, text) if self.multi else text
+        whole = self._single(now)
+        if whole == now and self.single:
+            parts, at = [], 0
+            for a, b in foreign_words(now):
+                x = max(0, a - 1)
+                parts += [now[at:a], self._single(now[x : b + 1])[a - x : b - x]]
+                at = b
+            whole = "".join([*parts, now[at:]])
+        return whole != text or LOST.search(text) is not None, whole, LOST.search(whole) is None
 
     def _single(self, text: str) -> str:
         best = (0.0, text)
@@ -170,15 +240,17 @@ def learn(texts: DataFrame, text: str, support: int = 3, contexts_max: int = 2_0
         for batch in batches:
             n: Counter = Counter()
             for t in batch.column(0).to_pylist():
-                for m in WORD.finditer(t):
-                    before, after = t[max(0, m.start() - 24) : m.start()].split()[-1:], t[m.end() : m.end() + 24].split()[:1]
-                    key = "|".join(re.sub(r"\d+", "0", strip(x)) for x in (*(before or [""]), m.group(), *(after or [""])))
-                    n[key, re.sub(r"\d+", "0", m.group())] += 1
+                for a, b in foreign_words(t):
+                    before, after = t[max(0, a - 24) : a].split()[-1:], t[b : b + 24].split()[:1]
+                    key = "|".join(re.sub(r"\d+", "0", strip(x)) for x in (*(before or [""]), t[a:b], *(after or [""])))
+                    if sum(map(str.isalpha, key)) >= ANCHORS:
+                        n[key, re.sub(r"\d+", "0", t[a:b])] += 1
             k, w = zip(*n, strict=True) if n else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array(w, pa.string()), pa.array(list(n.values()), pa.int64())], ["key", "word", "n"])
 
     spelled = cut(source.mapInArrow(words, "key string, word string, n long").groupBy("key", "word").agg(F.sum("n").alias("n")))
-    clean = spelled.groupBy("key").agg(F.max_by("word", F.struct("n", "word")).alias("clean"), F.count("*").alias("k")).where("k > 1").drop("k")
+    clean = spelled.groupBy("key").agg(F.max_by("word", F.struct("n", "word")).alias("clean"), F.ceil(F.count("*") / LISTED).cast("int").alias("parts"), F.count("*").alias("k")).where("k > 1").drop("k")
+    clean = cut(clean)
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,7 +263,11 @@ def learn(texts: DataFrame, text: str, support: int = 3, contexts_max: int = 2_0
             out = ["|".join(sorted(explanations(g, c))) for g, c in zip(*(x.to_pylist() for x in batch.columns), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["why"])
 
-    runs = spelled.join(clean, "key").where("word <> clean").select("word", "clean").mapInArrow(votes, "g string, c string").distinct()
+    # A key of many spellings is parted, so that none makes a large task.
+    large = clean.where("parts > 1").select("key", F.col("parts").alias("of"))
+    parted = spelled.join(large, "key", "left").select("key", "word", F.pmod(F.xxhash64("word"), F.coalesce("of", F.lit(1))).cast("int").alias("part"))
+    meets = clean.select("key", "clean", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    runs = parted.join(meets, ["key", "part"]).where("word <> clean").select("word", "clean").mapInArrow(votes, "g string, c string").distinct()
     counted = runs.mapInArrow(explain, "why string").where("why <> ''").groupBy("why").count().collect()
     open_, learned = {r.why: r["count"] for r in counted}, []
     while open_:
@@ -214,7 +290,9 @@ def learn(texts: DataFrame, text: str, support: int = 3, contexts_max: int = 2_0
                 c, k = zip(*n, strict=True) if n else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()), pa.array(k, pa.string()), pa.array(list(n.values()), pa.int64())], ["c", "k", "n"])
 
-        seen = source.mapInArrow(near, "c string, k string, n long").groupBy("c", "k").agg(F.sum("n").alias("n")).limit(contexts_max).collect()
+        seen = source.mapInArrow(near, "c string, k string, n long").groupBy("c", "k").agg(F.sum("n").alias("n")).limit(contexts_max + 1).collect()
+        if len(seen) > contexts_max:
+            raise ValueError(f"more than {contexts_max} characters in context")
         found = Repair(learned, {(r.c, r.k): r.n for r in seen})
     return found
 

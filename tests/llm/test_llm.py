@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -410,6 +411,62 @@ def test_garbled(spark):
     assert mojibake.learn(df.limit(0), "t").multi == []
 
 
+@pytest.mark.parametrize("read", ["cp1252", "latin-1", "cp1251", "mac_roman"])
+def test_scripts_and_repeated_garbling(read):
+    repair = mojibake.Repair(["utf-8>cp1252", "utf-8>latin-1", "utf-8>cp1251", "utf-8>mac_roman"], {})
+    for text in ("العربية لغة جميلة", "שלום עולם טוב", "Größe und Straße", "Привет мир в доме", "数据 分析", "αβγ α = 0.5", "naïve – “x” 21 °C", "a 👩\u200d🔬 b"):
+        assert repair(text) == (False, text, True)
+        garbled = text
+        for _ in range(4):
+            garbled = mojibake.garble(garbled, "utf-8", read)
+            assert repair(garbled) == (True, text, True)
+
+
+def test_correct_words_of_other_scripts_stay():
+    repair = mojibake.Repair(["utf-8>cp1252", "utf-8>cp1251", "utf-8>cp1253"], {})
+    for text in ("Він сказав, що Яів Ді", "Ελλάδα Ãngstrom", "È Ù Ô", "ÃO E ÃES"):
+        assert repair(text) == (False, text, True)
+
+
+def test_both_kinds_in_one_text():
+    repair = mojibake.Repair(["utf-8>cp1252", "cp1252>cp850"], {("ü", "fr"): 50, ("ß", "ae"): 40, ("ö", "rß"): 10})
+    assert repair("f³r und StraÃŸe") == (True, "für und Straße", True)
+    assert repair("x² und für") == (False, "x² und für", True)
+
+
+def test_long_lines_without_blanks():
+    text = "a" * 1_000_000 + "é" + "b" * 1_000_000
+    began = time.time()
+    assert list(mojibake.foreign_words(text)) == [(0, len(text))]
+    assert mojibake.Repair(["utf-8>cp1252"], {})(text)[1] == text
+    assert time.time() - began < 1
+
+
+@given(st.text("ab é\u00a0\u3000中\n", max_size=30))
+@settings(max_examples=200, deadline=None)
+def test_foreign_words_against_a_split(text):
+    assert [text[a:b] for a, b in mojibake.foreign_words(text)] == [w for w in text.split() if not w.isascii()]
+
+
+def test_words_without_anchors_are_no_twins(spark):
+    texts = ["数据 分析 方法"] * 5 + ["данные и метод"] * 5 + [mojibake.garble(t, "utf-8", "cp1252") for t in ("数据 分析 方法", "данные и метод")]
+    repair = mojibake.learn(spark.createDataFrame([(t,) for t in texts], "t string"), "t", support=1)
+    assert repair.multi == repair.single == []
+
+
+def test_parted_keys_and_limits(spark, monkeypatch):
+    clean = ["für die Größe", "ein naïve Test", "die Straße hier"] * 3
+    texts = clean + [mojibake.garble(t, "utf-8", "cp1252") for t in clean[:3]] + ["für³ die", "x fürr die"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    monkeypatch.setattr(mojibake, "LISTED", 1)
+    assert len(mojibake.learn(df, "t").multi) == 1
+    pairs = [("über", "³ber"), ("Tür", "T³r"), ("grün", "gr³n"), ("Gefühl", "Gef³hl")]
+    single = spark.createDataFrame([(f"das {w} ist",) for a, b in pairs for w in (a, a, b)], "t string")
+    assert len(mojibake.learn(single, "t", support=1).single) == 1
+    with pytest.raises(ValueError, match="in context"):
+        mojibake.learn(single, "t", support=1, contexts_max=1)
+
+
 def test_sql_has_queries():
     from lexitide.llm import queries, sql
 
