@@ -2,8 +2,9 @@
 
 A task cuts its documents into shards of a bounded number of words and builds an FM-index of each: suffix
 array by prefix doubling, Burrows-Wheeler transform in a wavelet matrix, sampled suffix positions. Phrases of the
-test items are sought by backward search, all of a shard at once; each occurrence is located by walking to the next
-sampled position and extended along its diagonal into the longest passage in which exchanged words stand alone.
+test items are sought by backward search, all of a shard at once: pairs of neighbouring words, and pairs with any word between
+them, of which one at least is left wherever exchanged words stand alone. Each occurrence is located by walking to the next
+sampled position; the diagonals that agree enough are extended into the longest passages in which exchanged words stand alone.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -90,6 +91,22 @@ class FMIndex:
             lo, hi = self.first[c] + self.tree.rank(c, lo), self.first[c] + self.tree.rank(c, hi)
         return lo, hi
 
+    def find_spaced(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pair, row): each row at which the first word of a pair, any word but the end of a text, and the second word begin."""
+        last = np.unique(pairs[:, 1])
+        lo, hi = self.find(last[:, None])
+        rows = np.concatenate([np.arange(a, b) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)] or [np.zeros(0, np.int64)])
+        second = np.repeat(last, hi - lo)
+        for _ in range(2):
+            c = self.tree.access(rows)
+            kept = (c != 0) & (c < (1 << self.tree.bits) - 1)
+            c, rows, second = c[kept], rows[kept], second[kept]
+            rows = self.first[c] + self.tree.rank(c, rows)
+        keys, order = (pairs[:, 0] << 32) | pairs[:, 1], np.argsort((pairs[:, 0] << 32) | pairs[:, 1])
+        at = np.searchsorted(keys[order], (c << 32) | second)
+        hit = (at < len(keys)) & (keys[order][np.minimum(at, len(keys) - 1)] == ((c << 32) | second))
+        return order[at[hit]], rows[hit]
+
     def locate(self, rows: np.ndarray) -> np.ndarray:
         rows, steps, found = rows.copy(), np.zeros(len(rows), np.int64), np.full(len(rows), -1, np.int64)
         open_ = np.arange(len(rows))
@@ -111,13 +128,13 @@ class Items:
     ids: list[list[int]]  # all items of a text
     words: list[np.ndarray]
     vocabulary: dict[str, int]
-    phrases: list[np.ndarray]  # of each length, one to a row
-    places: list[list[list[tuple[int, int]]]] = field(default_factory=list)  # for each phrase: texts and places
+    phrases: dict[int, np.ndarray]  # by length, one to a row; those of length 0 are pairs with any word between them
+    places: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # for each phrase where its (text, place) begin
 
 
-def prepare(items: list[tuple[int, str]], seed: int, least: int) -> Items:
-    """Items with their phrases of ``seed`` words. A text of fewer than ``least`` words has phrases of one word less, as
-    in it exchanged words can leave none of ``seed``, or is a phrase of its own."""
+def prepare(items: list[tuple[int, str]], seed: int = 2) -> Items:
+    """Items with their phrases of ``seed`` words, and their pairs of words with one between. A shorter text is a phrase of
+    its own."""
     vocabulary: dict[str, int] = {}
     ids: dict[tuple, list[int]] = defaultdict(list)
     for i, t in items:
@@ -126,40 +143,35 @@ def prepare(items: list[tuple[int, str]], seed: int, least: int) -> Items:
             ids[words].append(i)
     seeds: dict[int, dict[tuple, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
     for k, ws in enumerate(ids):
-        size = min(len(ws), seed if len(ws) >= least else max(1, seed - 1))
+        size = min(len(ws), seed)
         for j in range(len(ws) - size + 1):
             seeds[size][ws[j : j + size]].append((k, j))
-    return Items(
-        [sorted(set(i)) for i in ids.values()],
-        [np.array(ws) for ws in ids],
-        vocabulary,
-        [np.array(list(places), np.int64).reshape(-1, size) for size, places in seeds.items()],
-        [list(places.values()) for places in seeds.values()],
-    )
+        for j in range(len(ws) - 2):
+            seeds[0][ws[j], ws[j + 2]].append((k, j))
+    places = {}
+    for size, found in seeds.items():
+        flat = np.array([p for ps in found.values() for p in ps], np.int64).reshape(-1, 2)
+        places[size] = np.concatenate([[0], np.cumsum([len(ps) for ps in found.values()])]), flat[:, 0], flat[:, 1]
+    phrases = {size: np.array(list(found), np.int64).reshape(-1, size or 2) for size, found in seeds.items()}
+    return Items([sorted(set(i)) for i in ids.values()], [np.array(ws) for ws in ids], vocabulary, phrases, places)
 
 
-def passage(doc: np.ndarray, item: np.ndarray, at: int, j: int, seed: int, least: int) -> tuple[int, int] | None:
-    """(first, end) in ``doc`` of the passage around a seed that begins at ``doc[at]`` and ``item[j]``.
+def passages(doc: np.ndarray, item: np.ndarray, at: int, least: int) -> Iterator[tuple[int, int]]:
+    """(first, end) in ``doc`` of the passages of ``item`` along the diagonal on which the item's first word is at ``at``.
 
-    It has ``least`` words or more, or is the whole item; of two neighbouring words one at least agrees, and seven of
-    ten in all.
+    A passage lies in one document, begins and ends with words that agree, and of two neighbouring words in it one at
+    least agrees. It has ``least`` words or more, or is the whole item.
     """
-    back = min(at, j)
-    a, b = at - back, j - back
-    n = min(len(doc) - a, len(item) - b)
-    same = doc[a : a + n] == item[b : b + n]
-    cuts = np.flatnonzero(doc[a : a + n] == 0)  # ends of documents
-    begin = max((c + 1 for c in cuts.tolist() if c < back), default=0)
-    n = min((c for c in cuts.tolist() if c > back), default=n)
-    lo = hi = back
-    while lo > begin and (same[lo - 1] or (lo > begin + 1 and same[lo - 2])):
-        lo -= 1
-    hi = back + seed
-    while hi < n and (same[hi] or (hi + 1 < n and same[hi + 1])):
-        hi += 1
-    if hi - lo < min(least, len(item)) or same[lo:hi].mean() < 0.7:
-        return None
-    return a + lo, a + hi
+    lo, hi = max(0, -at), min(len(item), len(doc) - at)
+    same = np.flatnonzero(doc[at + lo : at + hi] == item[lo:hi]) + lo
+    if not len(same):
+        return
+    ends = np.concatenate([[0], np.cumsum(doc[at + lo : at + hi] == 0)])  # ends of documents
+    parts = np.flatnonzero((np.diff(same) > 2) | (ends[same[1:] - lo] > ends[same[:-1] - lo])) + 1
+    for part in np.split(same, parts):
+        a, e = int(part[0]), int(part[-1]) + 1
+        if e - a >= min(least, len(item)):
+            yield at + a, at + e
 
 
 def _longest_run(same: np.ndarray) -> int:
@@ -192,29 +204,45 @@ def _explained(shard: np.ndarray, words: list[np.ndarray], found: list[tuple[int
         yield int(text[c]), int(a[c]), int(e[c])
 
 
+def _diagonals(index: FMIndex, items: Items) -> np.ndarray:
+    """(text, place of its first word) of all diagonals on which a phrase occurs, one to a row."""
+    found = [np.zeros((0, 2), np.int64)]
+    for size, phrases in items.phrases.items():
+        if size:
+            lo, hi = index.find(phrases)
+            hit = np.flatnonzero(hi > lo)
+            rows = np.concatenate([np.arange(a, b) for a, b in zip(lo[hit].tolist(), hi[hit].tolist(), strict=True)] or [np.zeros(0, np.int64)])
+            phrase = np.repeat(hit, hi[hit] - lo[hit])
+        else:
+            phrase, rows = index.find_spaced(phrases)
+        at = index.locate(rows)
+        starts, text, place = items.places[size]
+        n = starts[phrase + 1] - starts[phrase]
+        each = np.repeat(starts[phrase] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        found.append(np.unique(np.stack([text[each], np.repeat(at, n) - place[each]], 1), axis=0))
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def _agreeing(shard: np.ndarray, items: Items, diagonals: np.ndarray, least: int, cells: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """Those diagonals on which some stretch of ``least`` words, or the whole of a shorter text, agrees enough for a passage."""
+    padded = np.concatenate([shard, np.zeros(1, np.int64)])
+    for k, words in enumerate(items.words):
+        at = diagonals[diagonals[:, 0] == k, 1]
+        size = min(least, len(words))
+        need = -(-size // 2)
+        for i in range(0, len(at), max(1, cells // len(words))):
+            some = at[i : i + max(1, cells // len(words))]
+            places = some[:, None] + np.arange(len(words))
+            same = padded[np.where((places >= 0) & (places < len(shard)), places, len(shard))] == words
+            sums = np.concatenate([np.zeros((len(some), 1), np.int32), same.cumsum(1, dtype=np.int32)], 1)
+            for d in some[(sums[:, size:] - sums[:, : sums.shape[1] - size]).max(1) >= need].tolist():
+                yield k, d
+
+
 def _search(shard: np.ndarray, items: Items, bits: int, least: int, stock: int) -> Iterator[tuple[int, int, int]]:
     """(text, first, end) of the passages of a shard."""
-    index = FMIndex(shard, bits)
-    found: list[tuple[int, int, int, int]] = []
-    for phrases, places in zip(items.phrases, items.places, strict=True):
-        lo, hi = index.find(phrases)
-        hit = np.flatnonzero(hi > lo)
-        if not len(hit):
-            continue
-        rows = np.concatenate([np.arange(lo[p], hi[p]) for p in hit])
-        phrase = np.repeat(hit, hi[hit] - lo[hit])
-        known: dict[tuple[int, int], int] = {}  # text and diagonal: end of the last passage
-        at = index.locate(rows)
-        order = np.argsort(at, kind="stable")
-        for place, p in zip(at[order].tolist(), phrase[order].tolist(), strict=True):
-            for k, j in places[p]:
-                if known.get((k, place - j), -1) > place:
-                    continue
-                span = passage(shard, items.words[k], place, j, phrases.shape[1], least)
-                known[k, place - j] = span[1] if span else place + 1
-                if span:
-                    found.append((*span, k, place - j))
-    found.sort()
+    diagonals = _diagonals(FMIndex(shard, bits), items)
+    found = sorted((*span, k, d) for k, d in _agreeing(shard, items, diagonals, least) for span in passages(shard, items.words[k], d, least))
     group: list[tuple[int, int, int, int]] = []
     reach = 0
     for f in found:
@@ -227,18 +255,18 @@ def _search(shard: np.ndarray, items: Items, bits: int, least: int, stock: int)
         yield from _explained(shard, items.words, group, least, stock)
 
 
-def leaked_spans(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, least: int = 12, seed: int = 3, stock: int = 3, few: int = 3, items_max: int = 100_000) -> DataFrame:
+def leaked_spans(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, least: int = 12, seed: int = 2, stock: int = 3, few: int = 3, items_max: int = 100_000) -> DataFrame:
     """(doc_id, item_id, first, last): passages of items in documents, as word numbers from 0.
 
     A passage is the whole item or at least ``least`` successive words of it, case, punctuation and spacing aside, in
-    which single words may have been exchanged. It is no case where another item agrees with more of its words, or
+    which single words, even every second one, may have been exchanged. It is no case where another item agrees with more of its words, or
     more than ``stock`` distinct texts with as many. ``few`` has no effect any more; rare words decide nothing. Items are a held-out set of bounded size (at most ``items_max``) and
     travel with the tasks. Null and empty texts and items match nothing; repeated documents and items each match.
     """
     held = items.select(F.col(item_id).cast("int").alias("i"), F.col(item_text).alias("t")).limit(items_max + 1).collect()
     if len(held) > items_max:
         raise ValueError(f"more than {items_max} items")
-    ready = prepare([(r.i, r.t) for r in held], seed, least)
+    ready = prepare([(r.i, r.t) for r in held], seed)
     shared = docs.sparkSession.sparkContext.broadcast(ready)
     longest = max(map(len, ready.words), default=least)
     # A part keeps the passages that begin in it with the room of a passage on either side for those that overlap them.

@@ -389,6 +389,32 @@ def test_leaks_at_cuts_of_long_documents(spark, monkeypatch):
     assert got == sorted((i, j, j + 23) for i, t in enumerate(texts) for j, w in enumerate(t.split()) if w == "w0")
 
 
+def test_every_second_word_exchanged(spark):
+    words = [f"w{i}" for i in range(26)]
+    docs = {}
+    for distance in range(2, 8):
+        for shift in range(distance):
+            docs[100 * distance + shift] = " ".join("other" if i % distance == shift else w for i, w in enumerate(words))
+    docs |= {1: " ".join(words[:7]), 2: " ".join(words[7:15]), 3: " ".join("other" if i % 3 < 2 else w for i, w in enumerate(words))}
+    d, items = spark.createDataFrame(list(docs.items()), "d long, t string").coalesce(1), spark.createDataFrame([(1, " ".join(words))], "i int, t string")
+    assert {r.doc_id for r in leaks.leaked_spans(d, "d", "t", items, "i", "t").collect()} == {k for k in docs if k > 3}
+
+
+@given(st.lists(st.integers(0, 5), max_size=50), st.lists(st.lists(st.integers(2, 5), min_size=1, max_size=9), min_size=1, max_size=3))
+@settings(max_examples=200, deadline=None)
+def test_passages_against_all_alignments(values, texts):
+    shard = np.array([*values, 0], np.int64)
+    items = leaks.prepare([(k, " ".join(map(str, t))) for k, t in enumerate(texts)])
+    number = items.vocabulary
+    shard = np.array([number.get(str(v), 1) if v else 0 for v in shard], np.int64)
+    bits = max(1, (len(number) + 2).bit_length())
+    got = {(k, d) for k, d in leaks._diagonals(leaks.FMIndex(shard, bits), items).tolist() if any(leaks.passages(shard, items.words[k], d, 4))}
+    want = {(k, d) for k, w in enumerate(items.words) for d in range(-len(w), len(shard)) if any(leaks.passages(shard, w, d, 4)) and len(w) > 2}
+    assert {x for x in got if len(items.words[x[0]]) > 2} == want
+    agreeing = set(leaks._agreeing(shard, items, np.array([[k, d] for k, w in enumerate(items.words) for d in range(-len(w), len(shard))]), 4))
+    assert all((k, d) in agreeing for k, w in enumerate(items.words) for d in range(-len(w), len(shard)) if any(leaks.passages(shard, w, d, 4)))
+
+
 # 10. Garbled text
 
 
