@@ -9,18 +9,23 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+import warnings
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexitide.llm.sample import text_sample
+
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it")
 #: Hash values of trigrams.
 BUCKETS = 1 << 15
 #: Labelled texts of each language from which the model is trained, at most.
 TRAINED = 3_000
+#: Characters of a text from which the model may be trained, at most; longer ones are labelled like all others.
+LONGEST = 20_000
 #: Price of a change of language within a document, in units of log probability.
 CHANGE = 12.0
 #: Characters scored at once, which bounds a task's memory.
@@ -71,7 +76,8 @@ def _grams(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Log probabilities of the hash values for each language, relative to their mean over the languages."""
 
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, counts: np.ndarray, languages: Sequence[str] = LANGUAGES):
+        self.languages = tuple(languages)
         p = (counts + 0.5) / (counts + 0.5).sum(1, keepdims=True)
         logs = np.log(p)
         self.logs = (logs - logs.mean(0)).astype(np.float32)
@@ -84,19 +90,21 @@ class Model:
         return np.stack([np.add.reduceat(row[grams], starts) for row in self.logs], axis=1)
 
 
-def train(labelled: list[tuple[str, str]], rounds: int = 3) -> Model:
+def train(labelled: list[tuple[str, str]], rounds: int = 3, languages: Sequence[str] = LANGUAGES) -> Model:
     """A model from (label, text) rows of which some labels are wrong: after the first round each sentence counts for
-    the language that the model itself gives it."""
-    parts = [(LANGUAGES.index(label), s) for label, text in labelled for s in sentences(text)]
+    the language that the model itself gives it. A language without a labelled row can't be told, of which a warning tells."""
+    if missing := set(languages) - {label for label, _ in labelled}:
+        warnings.warn(f"no labelled text in {', '.join(sorted(missing))}", stacklevel=2)
+    parts = [(languages.index(label), s) for label, text in labelled for s in sentences(text)]
     grams, starts = _grams([s for _, s in parts])
     sizes = np.diff(np.append(starts, len(grams)))
     labels = np.array([k for k, _ in parts], np.int64)
     model = None
     for _ in range(rounds):
         cells = np.repeat(labels, sizes) * BUCKETS + grams
-        model = Model(np.bincount(cells, minlength=len(LANGUAGES) * BUCKETS).reshape(len(LANGUAGES), BUCKETS).astype(np.float64))
+        model = Model(np.bincount(cells, minlength=len(languages) * BUCKETS).reshape(len(languages), BUCKETS).astype(np.float64), languages)
         labels = model.sums(grams, starts).argmax(1) if len(parts) else labels
-    return model or Model(np.zeros((len(LANGUAGES), BUCKETS)))
+    return model or Model(np.zeros((len(languages), BUCKETS)), languages)
 
 
 def path(scores: np.ndarray, change: float) -> np.ndarray:
@@ -138,33 +146,24 @@ def segments(model: Model, texts: list[str | None]) -> list[list[tuple[str, floa
             for d, k in enumerate(full):
                 a, b = int(starts[d]), int(starts[d + 1])
                 if same[d]:
-                    out[k] = [(LANGUAGES[first[a]], float(sure[d]), b - a)]
+                    out[k] = [(model.languages[first[a]], float(sure[d]), b - a)]
                     continue
                 langs = path(scores[a:b], CHANGE)
                 cuts = [0, *(np.flatnonzero(langs[1:] != langs[:-1]) + 1).tolist(), b - a]
-                out[k] = [(LANGUAGES[langs[x]], float(_confidence(scores[a + x : a + y].sum(0, keepdims=True))[0]), y - x) for x, y in zip(cuts, cuts[1:], strict=False)]
+                out[k] = [(model.languages[langs[x]], float(_confidence(scores[a + x : a + y].sum(0, keepdims=True))[0]), y - x) for x, y in zip(cuts, cuts[1:], strict=False)]
         i = j
     return out
 
 
-def labelled_sample(df: DataFrame, text: str, label: str, most: int = TRAINED, length: int = 4_000) -> list[tuple[str, str]]:
-    """Up to ``most`` (label, text) rows of each language, texts cut at ``length`` characters: the bounded sample for
-    training. Each language's rows are taken from as few partitions as give enough of them."""
-    rows = []
-    for language in LANGUAGES:
-        own = df.where((F.col(label) == language) & F.col(text).isNotNull()).select(F.substring(F.col(text), 1, length))
-        rows += [(language, r[0]) for r in own.limit(most).collect()]
-    return rows
-
-
-def detect(df: DataFrame, key: str, text: str, label: str) -> DataFrame:
+def detect(df: DataFrame, key: str, text: str, label: str, trained: int = TRAINED, longest: int = LONGEST, languages: Sequence[str] = LANGUAGES) -> DataFrame:
     """(key, label, segs, seg_no, seg_lang, confidence, n_sentences): the segments of each non-blank text.
 
-    The model is trained on a bounded sample of labelled rows of ``df`` itself. ``segs`` is the number of segments of
-    the text. Null, empty and blank texts have no row; a text without letters gets the language of the least evidence
-    with a confidence of about one sixth.
+    The model is trained on a bounded sample of labelled rows of ``df`` itself: up to ``trained`` rows of each of ``languages``
+    with texts of up to ``longest`` characters, whole, drawn by their hash values. ``segs`` is the number of
+    segments of the text. Null, empty and blank texts have no row; a text without letters gets the language of the least
+    evidence with a confidence of about one sixth.
     """
-    model = df.sparkSession.sparkContext.broadcast(train(labelled_sample(df, text, label)))
+    model = df.sparkSession.sparkContext.broadcast(train(text_sample(df, key, text, trained, longest, label, languages), languages=languages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -9,6 +9,7 @@ that looks like it, has been written.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import random
 import re
@@ -22,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexitide.llm.sample import text_sample
+
 #: Labels of leaves: kind of markup and role.
 LABELS = [
     ("", "text"),
@@ -48,7 +51,7 @@ LINE_FORMS = {
 SPAN_FORMS = {
     "fence": r"```[^`]*```",
     "tick": r"`[^`\n]+`",
-    "comment": r"<!--(?s:.*?)-->",
+    "comment": r"<!--(?:[^<-]|-(?!->)|<(?!!--))*+-->",
     "angle": r"<[^<>\n]{1,300}>",
     "entity": r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,24});",
     "dollars": r"\$\$[^$]{1,400}\$\$",
@@ -479,8 +482,21 @@ def made_up(sentences: list[str], n: int, seed: int = 5) -> list[tuple[str, np.n
     return out
 
 
+#: The last labellers by the digests of what they were trained from, so that a session trains each once.
+_trained: dict[str, Labeller] = {}
+
+
 def train(sentences: list[str], documents: int = 4_000, epochs: int = 6) -> Labeller:
     """A labeller trained on made-up documents from plain sentences; the same sentences give the same labeller."""
+    digest = hashlib.sha256("\n".join([*sentences, f"{documents} {epochs}"]).encode("utf-8", "surrogatepass")).hexdigest()
+    if digest not in _trained:
+        while len(_trained) >= 4:
+            del _trained[next(iter(_trained))]
+        _trained[digest] = _train(sentences, documents, epochs)
+    return _trained[digest]
+
+
+def _train(sentences: list[str], documents: int, epochs: int) -> Labeller:
     examples = [(_features(t, f), k) for t, k, f in made_up(sentences, documents) if any(x.form for x in f)]
     model = Labeller()
     model.fit(examples, epochs)
@@ -558,20 +574,26 @@ def clean(text: str, found: list[Leaf], labels: np.ndarray) -> str:
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"(?<=\S)[ \t]{2,}", " ", joined)).strip()
 
 
-def plain_sentences(df: DataFrame, text: str, most: int = 3_000, length: int = 4_000) -> list[str]:
-    """Sentences of up to ``most`` texts, cut at ``length`` characters, without any sign of markup: the bounded sample
-    for training."""
-    rows = df.select(F.substring(F.col(text), 1, length).alias("t")).where(F.col("t").isNotNull() & ~F.col("t").rlike(SIGNS)).limit(most).collect()
-    return [s for r in rows for s in re.findall(r"[^.!?\n]+[.!?]", r.t)]
+#: Texts from which the labeller's documents are made, at most, and the characters of each, at most; longer texts are labelled
+#: like all others.
+TRAINED, LONGEST = 3_000, 20_000
+
+
+def plain_sentences(df: DataFrame, key: str, text: str, most: int = TRAINED, longest: int = LONGEST) -> list[str]:
+    """Sentences of up to ``most`` whole texts without any sign of markup, of up to ``longest`` characters each: the
+    bounded sample for training, drawn by hash values."""
+    rows = text_sample(df, key, text, most, longest, where=~F.col("t").rlike(SIGNS))
+    return [s for _, t in rows for s in re.findall(r"[^.!?\n]+[.!?]", t)]
 
 
-def label_texts(df: DataFrame, key: str, text: str, with_text: bool = True) -> DataFrame:
+def label_texts(df: DataFrame, key: str, text: str, with_text: bool = True, trained: int = TRAINED, longest: int = LONGEST) -> DataFrame:
     """(key, kinds[, cleaned]): the kinds of markup in each row's text and the text made clean.
 
-    Texts in which no sign could be markup stay as they are, without a look at their leaves. Null, empty and blank texts
-    have no markup; a null stays null.
+    The labeller is trained by ``plain_sentences`` of up to ``trained`` texts of up to ``longest`` characters. Texts in which
+    no sign could be markup stay as they are, without a look at their leaves. Null, empty and blank texts have no markup; a
+    null stays null.
     """
-    model = df.sparkSession.sparkContext.broadcast(train(plain_sentences(df, text)))
+    model = df.sparkSession.sparkContext.broadcast(train(plain_sentences(df, key, text, trained, longest)))
     fields = ["k", "kinds", *(["cleaned"] if with_text else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

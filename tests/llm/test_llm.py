@@ -10,7 +10,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lexitide.llm import canon, copies, language, leaks, markup, mojibake, names, termfreq, tokenize
+from pyspark.sql import functions as F
+
+from lexitide.llm import canon, copies, language, leaks, markup, mojibake, names, sample, termfreq, tokenize
 
 tiktoken = pytest.importorskip("tiktoken")
 
@@ -78,6 +80,50 @@ def test_sparse_join_against_all_pairs(spark):
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def _by_hand(items, links, least):
+    """Average linkage by a look at all pairs of clusters before each merge."""
+    s = {frozenset(k): v for k, v in links.items()}
+    groups = [[x] for x in sorted(items)]
+    while True:
+        best = None
+        for i, x in enumerate(groups):
+            for y in groups[i + 1 :]:
+                total = sum(round(s.get(frozenset((a, b)), 0.0) * names.UNIT) for a in x for b in y)
+                mean = total / (len(x) * len(y))
+                if total and mean >= round(least * names.UNIT) and (best is None or (-mean, x[0], y[0]) < best[0]):
+                    best = ((-mean, x[0], y[0]), x, y)
+        if best is None:
+            return sorted(map(sorted, groups))
+        groups = sorted([g for g in groups if g not in best[1:]] + [sorted(best[1] + best[2])])
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_linkage_with_ties_in_one_task_and_in_rounds(spark, seed):
+    r = random.Random(seed)
+    items = [f"n{i:02d}" for i in range(24)]
+    links = {(a, b): r.choice([0.2, 0.4, 0.4, 0.6, 0.8]) for i, a in enumerate(items) for b in items[i + 1 :] if r.random() < 0.15}
+    df = spark.createDataFrame([(x,) for x in items], "x string")
+    pairs = spark.createDataFrame([(*k, v) for k, v in links.items()], "a string, b string, s double")
+    for at_hand in (1_000, 0):
+        found = defaultdict(list)
+        for row in names.average_linkage(df, "x", pairs, 0.2, at_hand=at_hand).collect():
+            found[row.cluster].append(row["item"])
+        assert sorted(map(sorted, found.values())) == _by_hand(items, links, 0.2)
+
+
+def test_parted_lists_and_nearest_links(spark):
+    forms = [f"{w} {k} press" for w in ("amber", "ambler", "timber", "limber") for k in ("north", "norther", "south")]
+    df = spark.createDataFrame([(f,) for f in forms], "f string")
+    pairs = lambda **k: {(r.a, r.b): r.cosine for r in names.similar_pairs(df, "f", 4, 0.35, 1.0, **k).collect()}
+    full = pairs()
+    assert len(full) > 20 and pairs(listed=2) == pytest.approx(full)
+    near = defaultdict(list)
+    for (a, b), c in full.items():
+        near[a].append((-c, a, b))
+        near[b].append((-c, a, b))
+    assert set(pairs(top=2)) == {x[1:] for v in near.values() for x in sorted(v)[:2]}
+
+
 # 3. Lists
 
 
@@ -234,6 +280,16 @@ def test_leaves_cover_the_text(text):
     assert "".join(text[x.start : x.end] for x in markup.leaves(text)) == text
 
 
+def test_unclosed_comments_and_labellers_trained_once(monkeypatch):
+    began = time.time()
+    markup.leaves("<!-- x " * 50_000)
+    assert time.time() - began < 5
+    assert [x.form for x in markup.leaves("a <!-- b - c -- d > <i> --> e")] == ["", "comment", ""]
+    calls = []
+    monkeypatch.setattr(markup, "_train", lambda *a: calls.append(a) or object())
+    assert markup.train(["One."]) is markup.train(["One."]) and markup.train(["Two."]) is not markup.train(["One."]) and len(calls) == 2
+
+
 def test_gradients():
     m = markup.Labeller(seed=1)
     docs = [markup._features(t, markup.leaves(t)) for t in ("a <i>b</i> c", "x $y$")]
@@ -273,6 +329,26 @@ def test_languages(spark):
     assert not {12, 13, 14} & set(got) and len(got[16]) == 1
 
 
+def test_sample_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(sample, "PARTS", 8)
+    rows = [(f"text {i % 400}", "en" if i % 3 else "de", i % 1200) for i in range(3000)] + [("hot", "en", i) for i in range(3000)] + [(None, "en", 1), ("", "de", 1), ("x" * 200, "de", 1), ("other", "xx", 1)]
+    df = spark.createDataFrame(rows, "t string, g string, h int")
+    drawn = [sample.text_sample(d, "h", "t", 50, 100, "g", ["en", "de"]) for d in (df, df.orderBy(F.rand(1)).repartition(7), df.coalesce(1))]
+    assert drawn[0] == drawn[1] == drawn[2] and len(drawn[0]) == 100
+    assert 20 < sum(t == "hot" for _, t in drawn[0]) < 48  # four of five distinct rows of its group
+    order = df.where("g = 'de' and length(t) between 1 and 100").distinct().orderBy(F.shiftrightunsigned(F.xxhash64("h", "t"), 1)).limit(50).collect()
+    assert [t for g, t in drawn[0] if g == "de"] == [r.t for r in order]
+    assert sample.text_sample(df, "h", "t", 5, 100) != [] and sample.text_sample(df.limit(0), "h", "t", 5, 100) == []
+
+
+def test_languages_without_labels_and_own_lists(spark):
+    df = spark.createDataFrame([(i, TEXT[g], g) for i, g in enumerate(("en", "de"))], "id int, t string, lang string")
+    with pytest.warns(UserWarning, match="es, fr, it, pt"):
+        language.detect(df, "id", "t", "lang")
+    got = {r.id: r.seg_lang for r in language.detect(df, "id", "t", "lang", trained=5, longest=500, languages=("de", "en")).collect()}
+    assert got == {0: "en", 1: "de"}
+
+
 # 6. Copies
 
 
