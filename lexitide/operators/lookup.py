@@ -36,6 +36,15 @@ def map_values(column: Column, known: Mapping[str, str], default: Column | None
     return mapped if default is None else F.coalesce(mapped, default)
 
 
+def by_alias(df: DataFrame, column: str, aliases: DataFrame, alias: str, canonical: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the canonical form of ``column`` by a table of aliases, or the value itself where it has none.
+
+    Of several canonical forms of one alias the least counts; null stays null."""
+    single = aliases.where(F.col(alias).isNotNull()).groupBy(F.col(alias).alias("_alias")).agg(F.min(canonical).alias("_canonical"))
+    joined = df.join(single, F.col(column) == F.col("_alias"), "left")
+    return joined.withColumn(name, F.coalesce("_canonical", column)).drop("_alias", "_canonical")
+
+
 def first_domain(df: DataFrame, categories: str, table: DataFrame, category: str, domain: str, unknown: str = "Unknown") -> DataFrame:
     """``df`` with ``domain`` of the first category of an array column; ``unknown`` for none, an empty or a null array."""
     known = table.select(F.col(category).alias("_c"), F.col(domain).alias("domain"))
@@ -88,6 +97,18 @@ def frequencies(df: DataFrame, value: Column, name: str = "value") -> DataFrame:
 
 
 def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first row of each group by ``order``."""
+    """The first row of each group by ``order``, null keys being a group."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def unmatched_sample(df: DataFrame, matched: Column, show: str, n: int = 10) -> DataFrame:
+    """The first ``n`` distinct non-null values of ``show``, in their order, of rows that are not ``matched``: what a report of
+    matches shows for a look by eye."""
+    return df.where(~F.coalesce(matched, F.lit(False)) & F.col(show).isNotNull()).select(show).distinct().orderBy(show).limit(n)
+
+
+def most_frequent(counts: DataFrame, value: str, count: str = "count", n: int | None = None) -> DataFrame:
+    """Counts in falling order, equal ones by value; the first ``n`` of them alone if given."""
+    ordered = counts.orderBy(F.desc(count), value)
+    return ordered if n is None else ordered.limit(n)

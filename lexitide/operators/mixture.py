@@ -21,6 +21,11 @@ from lexitide.plans.lineage import cut
 #: Words of a document that may be in the lexicon.
 TOKEN = r"[\p{L}][\p{L}\p{M}'-]*"
 STEPS = 50
+#: Words of a lexicon that is sent to every task, at most (about 50 bytes each).
+AT_HAND_WORDS = 500_000
+#: Parts over which a word of a larger lexicon is spread.
+SALTS = 16
+Extractor = Callable[[Column], Column]
 
 
 def tokens(text: Column) -> Column:
@@ -28,9 +33,9 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
 
 
-def _each_token(text: Column) -> Column:
+def _each_token(text: Column, extract: Extractor = tokens) -> Column:
     """A row for each token, null for none: unlike a plain explode, this makes no filter that would match twice."""
-    return F.explode_outer(tokens(text)).alias("word")
+    return F.explode_outer(extract(text)).alias("word")
 
 
 def bag_of_words(df: DataFrame, doc: str, text: str) -> DataFrame:
@@ -46,20 +51,29 @@ def distributions(df: DataFrame, text: str, second: Column, least: int = 50) ->
     flagged = df.select(tokens(F.col(text)).alias("words"), second.alias("s")).where("s is not null")
     words = flagged.select(F.explode_outer("words").alias("word"), "s").where("word is not null")
     counts = words.groupBy("word").agg(F.count(F.when(~F.col("s"), 1)).alias("h"), F.count(F.when(F.col("s"), 1)).alias("a"))
-    kept = counts.where(F.col("h") + F.col("a") >= least)
-    total = lambda c: kept.agg(F.sum(c)).scalar()
-    return kept.select("word", (F.col("h") / total("h")).alias("p_human"), (F.col("a") / total("a")).alias("p_ai"))
+    kept = cut(counts.where(F.col("h") + F.col("a") >= least))
+    total = kept.agg(F.sum("h").cast("double").alias("h"), F.sum("a").cast("double").alias("a")).first()  # one row
+    share = lambda c: F.col(c) / F.lit(total[c])
+    return kept.select("word", share("h").alias("p_human"), share("a").alias("p_ai"))
 
 
-def log_probabilities(df: DataFrame, doc: str, text: str, lexicon: DataFrame) -> DataFrame:
+def log_probabilities(df: DataFrame, doc: str, text: str, lexicon: DataFrame, extract: Extractor = tokens, at_hand: int = AT_HAND_WORDS) -> DataFrame:
     """``df`` with lp_human and lp_ai: sums over the document's lexicon words of the log of their probability.
 
-    A document without a lexicon word has ln(1e-10) for both. The words are summed in the tasks that read the document;
-    the lexicon is joined as the planner sees fit by its size.
+    A document without a lexicon word has ln(1e-10) for both. ``extract`` makes an array of words of the text; a tagger that
+    finds adjectives may take its place. A lexicon of up to ``at_hand`` words is sent to the tasks, which sum up the
+    documents that they read; a larger one is joined by word, each word spread over several tasks, as some are in every document.
     """
     logs = lexicon.select("word", F.log(F.col("p_human") + stats.GUARD).alias("h"), F.log(F.col("p_ai") + stats.GUARD).alias("a"))
-    words = df.select(F.col(doc).alias("_doc"), _each_token(F.col(text)))
-    sums = words.join(logs, "word").groupBy("_doc").agg(F.sum("h").alias("lp_human"), F.sum("a").alias("lp_ai"))
+    words = df.select(F.col(doc).alias("_doc"), _each_token(F.col(text), extract))
+    if lexicon.count() <= at_hand:
+        found = words.join(F.broadcast(logs), "word")
+    else:
+        counted = words.where("word is not null").groupBy("_doc", "word").agg(F.count("*").alias("n"))
+        salted = counted.withColumn("_salt", F.pmod(F.xxhash64("_doc"), F.lit(SALTS)).cast("int"))
+        spread = logs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = salted.join(spread, ["word", "_salt"]).withColumns({c: F.col(c) * F.col("n") for c in ("h", "a")})
+    sums = found.groupBy("_doc").agg(F.sum("h").alias("lp_human"), F.sum("a").alias("lp_ai"))
     nothing = F.lit(float(np.log(stats.GUARD)))
     return df.join(sums, F.col(doc) == F.col("_doc"), "left").drop("_doc").withColumns({c: F.coalesce(c, nothing) for c in ("lp_human", "lp_ai")})
 
@@ -77,6 +91,10 @@ def _likelihood(delta: np.ndarray, n: np.ndarray, alpha: float) -> float:
     return float((n * (np.maximum(t1, t2) + np.log1p(np.exp(-np.abs(t1 - t2))))).sum())
 
 
+#: The thresholds of the published calculation of the information.
+FLOOR, TINY, RATIO, EQUAL, VANISHED, LEAST_MIX, NEAR_ZERO = -500.0, 1e-100, 2.0, 1e-10, -100.0, 1e-15, 1e-10
+
+
 def information(h: np.ndarray, a: np.ndarray, n: np.ndarray, alpha: float, exact: bool) -> float:
     """Observed Fisher information at ``alpha``.
 
@@ -89,17 +107,17 @@ def information(h: np.ndarray, a: np.ndarray, n: np.ndarray, alpha: float, exact
     ratio = np.where(d > 0, (1 - e) / ((1 - alpha) * e + alpha + 1e-300), (e - 1) / ((1 - alpha) + alpha * e + 1e-300))
     if exact:
         return float((n * ratio**2).sum())
-    plain = (h > -500) & (a > -500)
+    plain = (h > FLOOR) & (a > FLOOR)
     with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
         mix = (1 - alpha) * np.exp(h) + alpha * np.exp(a)
-        direct = np.where(mix > 1e-100, ((np.exp(a) - np.exp(h)) / np.where(mix > 0, mix, 1.0)) ** 2, 0.0)
-        t1, t2 = np.log(1 - alpha + 1e-15) + h, np.log(alpha + 1e-15) + a
+        direct = np.where(mix > TINY, ((np.exp(a) - np.exp(h)) / np.where(mix > 0, mix, 1.0)) ** 2, 0.0)
+        t1, t2 = np.log(1 - alpha + LEAST_MIX) + h, np.log(alpha + LEAST_MIX) + a
         log_mix = np.maximum(t1, t2) + np.log1p(np.exp(-np.abs(t1 - t2)))
         top = np.maximum(a, h)
         close = 2 * top + 2 * np.log(np.abs(1 - e))
-        log_square = np.where(d > 2, 2 * a, np.where(d < -2, 2 * h, np.where(e > 1e-10, close, 2 * top)))
+        log_square = np.where(d > RATIO, 2 * a, np.where(d < -RATIO, 2 * h, np.where(e > NEAR_ZERO, close, 2 * top)))
         part = log_square - 2 * log_mix
-        apart = np.where((np.abs(d) < 1e-10) | ~(part > -100), 0.0, np.exp(np.minimum(part, 700)))
+        apart = np.where((np.abs(d) < EQUAL) | ~(part > VANISHED), 0.0, np.exp(np.minimum(part, 700)))
     return float((n * np.where(plain, direct, apart)).sum())
 
 
@@ -114,11 +132,13 @@ def _bisect(falls: Callable, lo: float, hi: float) -> float:
     return (lo + hi) / 2
 
 
-def _solve(pdf: pd.DataFrame, confidence: float, exact: bool) -> tuple[float, float, float, float]:
-    """Share, information, and profile bounds of one group."""
+def _solve(pdf: pd.DataFrame, confidence: float, exact: bool, profile: bool) -> tuple[float, float, float | None, float | None]:
+    """Share, information, and profile bounds of one group; no bounds without ``profile``."""
     h, a, n = (pdf[c].to_numpy(float) for c in ("lp_human", "lp_ai", "n"))
     d = a - h
     alpha = _bisect(lambda x: _score(d, n, x), 0.0, 1.0)
+    if not profile:
+        return alpha, information(h, a, n, alpha, exact), None, None
     best, critical = _likelihood(d, n, alpha), stats.chi2_value(confidence)
     away = lambda x: 2 * (best - _likelihood(d, n, x)) - critical
     low, high = 1e-6, 1 - 1e-6
@@ -186,38 +206,49 @@ def _profile(keys: Sequence[str], found: DataFrame, narrow: Callable, sums: Call
     return bounds.join(up.select(*keys, F.when((F.col("alpha") < 1 - 1e-6) & far(F.col("l1")), middle).otherwise(1 - 1e-6).alias("profile_upper")), keys)
 
 
-def estimates(df: DataFrame, keys: Sequence[str], method: str = "fisher_logit", least: int = 10, confidence: float = 0.95, exact: bool = False, at_hand: int = 200_000) -> DataFrame:
-    """(keys, count, mean, ci_lower, ci_upper, ci_width, fisher_info, se, ci_method, warning) of each group of
-    documents with lp_human and lp_ai; ``mean`` is the share of the second component.
+def solve(df: DataFrame, keys: Sequence[str], least: int = 10, confidence: float = 0.95, exact: bool = False, profile: bool = True, at_hand: int = 200_000, some: Sequence[str] | None = None, weight: str | None = None) -> DataFrame:
+    """(keys, count, alpha, fisher_info, profile_lower, profile_upper) of each group of documents with lp_human and lp_ai, from one
+    reading of ``df``; the bounds are null without ``profile``.
 
-    ``method`` is fisher_logit, fisher_wald or profile (which needs 50 documents, else fisher_logit). Groups of fewer
-    than ``least`` documents and those with a null key are left out. ``se`` is null without information. ``warning`` is
-    very_low_fisher_info, extreme_estimate (within a hundredth of 0 or 1) or none. Groups of more than ``at_hand``
-    distinct documents are solved in passes.
+    Rows with a null key are left out unless ``some`` names the keys that must not be null. Groups of fewer than ``least``
+    documents are left out; groups of more than ``at_hand`` distinct documents are solved in passes, with the same result.
+    ``weight`` is a column with the number of documents that a row stands for, by default one.
     """
-    kept = df.where(" and ".join(f"`{k}` is not null" for k in keys))
-    pairs = kept.groupBy(*keys, "lp_human", "lp_ai").agg(F.count("*").alias("n"))
-    pairs = cut(pairs)
+    required = keys if some is None else some
+    kept = df.where(" and ".join(f"`{k}` is not null" for k in required)) if required else df
+    pairs = cut(kept.groupBy(*keys, "lp_human", "lp_ai").agg((F.sum(weight) if weight else F.count("*")).alias("n")))
     sizes = cut(pairs.groupBy(*keys).agg(F.sum("n").alias("count"), F.count("*").alias("distinct")).where(F.col("count") >= least))
-    kinds = ", ".join(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in keys)
-    schema = f"{kinds}, alpha double, fisher_info double, profile_lower double, profile_upper double"
+    group = F.to_json(F.struct(*keys))  # stands for a group's keys, some of which may be null
+    grouped, known = pairs.withColumn("_g", group), sizes.withColumn("_g", group)
+    schema = "_g string, alpha double, fisher_info double, profile_lower double, profile_upper double"
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([[*key, *_solve(pdf, confidence, exact)]], columns=[*keys, "alpha", "fisher_info", "profile_lower", "profile_upper"])
+        return pd.DataFrame([[*key, *_solve(pdf, confidence, exact, profile)]], columns=["_g", "alpha", "fisher_info", "profile_lower", "profile_upper"])
 
-    small = pairs.join(sizes.where(F.col("distinct") <= at_hand).select(*keys), list(keys), "left_semi")
-    solved = small.groupBy(*keys).applyInPandas(run, schema)
-    large = sizes.where(F.col("distinct") > at_hand).select(*keys)
+    small = grouped.join(known.where(F.col("distinct") <= at_hand).select("_g"), "_g", "left_semi").select("_g", "lp_human", "lp_ai", "n")
+    solved = small.groupBy("_g").applyInPandas(run, schema)
+    large = known.where(F.col("distinct") > at_hand).select("_g")
     if not large.isEmpty():
-        solved = solved.unionByName(_by_passes(cut(pairs.join(large, list(keys), "left_semi")), list(keys), confidence, exact, method == "profile"))
-    found = sizes.drop("distinct").join(solved, list(keys))
+        apart = cut(grouped.join(large, "_g", "left_semi").select("_g", "lp_human", "lp_ai", "n"))
+        solved = solved.unionByName(_by_passes(apart, ["_g"], confidence, exact, profile))
+    return cut(known.drop("distinct").join(solved, "_g").drop("_g"))
+
+
+#: The published names of the methods by which bounds were found.
+METHODS = {"fisher_logit": "fisher_logit", "fisher_wald": "fisher_wald", "profile": "profile_likelihood"}
+FALLBACK = "fisher_logit_fallback"
+
+
+def with_bounds(found: DataFrame, keys: Sequence[str], method: str, confidence: float = 0.95) -> DataFrame:
+    """The rows of ``solve`` as estimates by one method; see ``estimates``."""
     alpha, info = F.col("alpha"), F.col("fisher_info")
     bounds = {"fisher_logit": stats.logit_interval(alpha, info, confidence), "fisher_wald": stats.wald_interval(alpha, info, confidence)}
-    profile = (F.col("count") >= 50) & F.lit(method == "profile")
     base = bounds.get(method, bounds["fisher_logit"])
-    lower = F.when(profile, F.col("profile_lower")).otherwise(base[0])
-    upper = F.when(profile, F.col("profile_upper")).otherwise(base[1])
-    name = F.when(profile, "profile").otherwise(method if method in bounds else "fisher_logit")
+    asked = (F.col("count") >= 50) & F.lit(method == "profile")
+    given = asked & stats.finite(F.col("profile_lower")).isNotNull() & stats.finite(F.col("profile_upper")).isNotNull()
+    lower = F.when(given, F.col("profile_lower")).otherwise(base[0])
+    upper = F.when(given, F.col("profile_upper")).otherwise(base[1])
+    name = F.when(given, METHODS["profile"]).when(asked, FALLBACK).otherwise(METHODS[method if method in bounds else "fisher_logit"])
     warning = F.when(info < 1e-6, "very_low_fisher_info").when((alpha < 0.01) | (alpha > 0.99), "extreme_estimate").otherwise("none")
     return found.select(
         *keys, "count", alpha.alias("mean"), lower.alias("ci_lower"), upper.alias("ci_upper"), (upper - lower).alias("ci_width"), "fisher_info",
@@ -225,10 +256,37 @@ def estimates(df: DataFrame, keys: Sequence[str], method: str = "fisher_logit",
     )
 
 
-def compare_methods(df: DataFrame, keys: Sequence[str], least: int = 50) -> DataFrame:
-    """(keys, ci_method, ci_width, success) of the three interval methods for each group, a row for each."""
+def estimates(df: DataFrame, keys: Sequence[str], method: str = "fisher_logit", least: int = 10, confidence: float = 0.95, exact: bool = False, at_hand: int = 200_000) -> DataFrame:
+    """(keys, count, mean, ci_lower, ci_upper, ci_width, fisher_info, se, ci_method, warning) of each group of
+    documents with lp_human and lp_ai; ``mean`` is the share of the second component.
+
+    ``method`` is fisher_logit, fisher_wald or profile (which needs 50 documents, else fisher_logit, and falls back on it where it
+    has no bounds). Groups of fewer than ``least`` documents and those with a null key are left out. ``se`` is null without
+    information. ``warning`` is very_low_fisher_info, extreme_estimate (within a hundredth of 0 or 1) or none. Groups of more
+    than ``at_hand`` distinct documents are solved in passes.
+    """
+    return with_bounds(solve(df, keys, least, confidence, exact, method == "profile", at_hand), keys, method, confidence)
+
+
+def estimate_sets(df: DataFrame, sets: Sequence[Sequence[str]], member: Callable[[DataFrame, Sequence[str]], DataFrame], method: str = "fisher_logit", least: int = 10, confidence: float = 0.95) -> DataFrame:
+    """The same for several sets of keys from one reading of ``df`` and one solve; ``keys`` names a row's set, and keys outside
+    of it are null. ``member`` gives the rows of a set, such as one for each member of a list. Rows with a null key are left out
+    of the sets that have it."""
+    keys = list(dict.fromkeys(k for s in sets for k in s))
+    base = cut(df.groupBy(*keys, "lp_human", "lp_ai").agg(F.count("*").alias("_n")))
     rows = None
+    for s in sets:
+        own = member(base, s).where(" and ".join(f"`{k}` is not null" for k in s))
+        own = own.select(F.lit("+".join(s)).alias("keys"), *[(F.col(k) if k in s else F.lit(None).cast(own.schema[k].dataType)).alias(k) for k in keys], "lp_human", "lp_ai", "_n")
+        rows = own if rows is None else rows.unionByName(own)
+    found = solve(rows, ["keys", *keys], least, confidence, profile=method == "profile", some=["keys"], weight="_n")
+    return with_bounds(found, ["keys", *keys], method, confidence)
+
+
+def compare_methods(df: DataFrame, keys: Sequence[str], least: int = 50) -> DataFrame:
+    """(keys, ci_method, ci_width, success) of the three interval methods for each group, a row for each, from one solve."""
+    found, rows = solve(df, keys, least), None
     for method in ("fisher_logit", "fisher_wald", "profile"):
-        own = estimates(df, keys, method, least).select(*keys, F.lit(method).alias("ci_method"), "ci_width", (F.col("ci_width") > 0).alias("success"))
+        own = with_bounds(found, keys, method).select(*keys, F.lit(method).alias("ci_method"), "ci_width", (F.col("ci_width") > 0).alias("success"))
         rows = own if rows is None else rows.unionByName(own)
     return rows

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: What may part two values.
 DELIMITER = r"\s*(?:[|;,/\n\t]|(?<=\s)and(?=\s))\s*"
+#: What every text holds in which ``DELIMITER`` occurs.
+HINT = r"[|;,/\n\t]|and"
 #: Costs of covering a piece by a known value, by a quoted one, and by plain text up to a delimiter.
 KNOWN, QUOTED, PLAIN = 0.0, 0.5, 1.0
 
@@ -131,9 +133,8 @@ def split_packed(df: DataFrame, key: str, fields: dict[str, str], known: Iterabl
     """
     names, segmenter = list(fields), Segmenter(known, delimiter)
     packed = df.select(F.col(key).cast("long").alias("k"), *[F.col(c).alias(f"f{i}") for i, c in enumerate(fields.values())])
-    if least > 1:
-        hint = r"[|;,/\n\t]|\sand\s"
-        packed = packed.where(" or ".join(f"f{i} rlike '{hint}'" for i in range(len(names))))
+    if least > 1 and delimiter == DELIMITER:  # what such a field must hold, in the JVM's syntax
+        packed = packed.where(" or ".join(f"f{i} rlike '{HINT}'" for i in range(len(names))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = lru_cache(100_000)(segmenter.split)

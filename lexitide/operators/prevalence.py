@@ -48,8 +48,3 @@ def share_sets(df: DataFrame, sets: Sequence[Sequence[str]], flag: str, confiden
     summed = rows.groupBy("keys", *keys).agg(F.sum("n").alias("count"), (F.sum("hits") / F.sum("n")).alias("mean"))
     lower, upper = stats.wilson(F.col("mean"), F.col("count"), confidence)
     return summed.withColumns({"ci_lower": lower, "ci_upper": upper})
-
-
-def large_groups(df: DataFrame, count: str, least: int) -> DataFrame:
-    """Only groups of at least ``least`` rows."""
-    return df.where(F.col(count) >= least)

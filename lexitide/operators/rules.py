@@ -41,6 +41,32 @@ LISTED = [
     ("Text Processing & Refinement", ["text", "revision", "refining", "polishing", "paraphras", "summar"]),
 ]
 OTHER = "Error Analysis & Others"
+#: Texts that are no purpose of an author but what a study is about, or nothing.
+EXCLUDED = """
+evaluate the capabilities of AI systems
+case study to discuss opportunities and challenges in medical education
+processing and integrating complex data
+Demonstration video
+capturing nuanced biases in peer review
+Providing a quote
+data analysis
+tagging and retrieval capabilities for efficient and thorough analysis
+Enhancing social role and humaneness in interactions
+creating more natural conversations by logging input-response history
+querying about amblyopia and comparing answers
+analyzing political statements
+Identifying healthcare needs
+response to the Home Blood Pressure Monitoring (HBPM) knowledge checklist
+supporting the oncological workflow by helping confirm the absence or presence of lesions
+Quantifying confidence shifts
+tackle the side effects of PLEs from the learner and learning perspective
+personalised learning
+integrating AI-driven components into curricula
+development of conversational technologies
+answering medical questions
+assessing quality by comparing seminal ideas of assignments
+Unspecified
+""".strip().split("\n")
 
 
 def first_rule(text: Column, rules: Rules, default: str | None = None) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexitide.functions import dates, text
 from lexitide.operators import mixture, prevalence
-from lexitide.plans.lineage import cut
+from lexitide.plans.lineage import cut, stored
 from lexitide.sources.tables import table
 
 FLAGS = ("has_policy", "is_oa")
@@ -45,9 +45,14 @@ def lexicon(spark: SparkSession, folder: str) -> DataFrame:
     return cut(mixture.distributions(paper, "abstract", text.has_word(F.col("abstract")), least=50))
 
 
-def weighed(spark: SparkSession, folder: str) -> DataFrame:
-    """Dated papers, blank abstracts too, with their two log probabilities."""
-    return mixture.log_probabilities(dated(spark, folder), "row_no", "abstract", lexicon(spark, folder))
+def stored_lexicon(spark: SparkSession, folder: str, path: str) -> DataFrame:
+    """The word distributions kept at ``path``; they are computed and written there the first time."""
+    return stored(spark, path, lambda: lexicon(spark, folder)).select("word", F.col("p_human").cast("double"), F.col("p_ai").cast("double"))
+
+
+def weighed(spark: SparkSession, folder: str, words: DataFrame | None = None) -> DataFrame:
+    """Dated papers, blank abstracts too, with their two log probabilities by the lexicon ``words``, by default their own."""
+    return mixture.log_probabilities(dated(spark, folder), "row_no", "abstract", lexicon(spark, folder) if words is None else words)
 
 
 def in_members(df: DataFrame, keys: tuple[str, ...], keep_blank: bool) -> DataFrame:

@@ -127,6 +127,36 @@ def usage_strict_category(spark: SparkSession, folder: str) -> DataFrame:
     return rules.categorise(d, "usage_purpose", rules.STRICT, _known(spark, folder), excluded=["other", "tbc"]).where("category is not null").select("disclosure_id", "category")
 
 
+def usage_filtered_category(spark: SparkSession, folder: str) -> DataFrame:
+    """The same without the published exclusions."""
+    d = table(spark, folder, "disclosure_df").select("disclosure_id", "usage_purpose")
+    return rules.categorise(d, "usage_purpose", rules.STRICT, _known(spark, folder), excluded=rules.EXCLUDED).where("category is not null").select("disclosure_id", "category")
+
+
+def publisher_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    """The twenty publishers of most journals; spellings that agree but for signs and case stand for the first of the statistics
+    (the table of aliases)."""
+    spelled = table(spark, folder, "journal_info").where(text.non_blank(F.col("publisher"))).select("publisher")
+    key = lambda c: F.regexp_replace(F.upper(c), r"[^\p{L}\p{N}]+", "")
+    known = table(spark, folder, "publisher_stats").select(F.col("normalized_publisher").alias("canonical"), key("normalized_publisher").alias("k")).where("k <> ''")
+    aliases = spelled.distinct().select("publisher", key("publisher").alias("k")).join(known, "k").select(F.col("publisher").alias("alias"), "canonical")
+    named = lookup.by_alias(spelled, "publisher", aliases, "alias", "canonical", "name")
+    return lookup.most_frequent(lookup.frequencies(named, F.col("name"), "name"), "name", n=20)
+
+
+def name_lookup_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """The first ten names of the flat list that have no journal record."""
+    flat, j = table(spark, folder, "journal_csv"), table(spark, folder, "journal_info").withColumn("k", text.standard_name(F.col("journal_name"), ascii_only=True))
+    found = lookup.look_up(flat, text.standard_name(F.col("journal_name"), ascii_only=True), j, "k", {"journal_id": "journal_id"}, "journal_id")
+    return lookup.unmatched_sample(found, F.col("journal_id").isNotNull(), "journal_name")
+
+
+def first_deliveries(spark: SparkSession, folder: str) -> DataFrame:
+    """The first delivery of each paper."""
+    rows = table(spark, folder, "paper").where("paper_id is not null").select("paper_id", "row_no", "pub_date")
+    return lookup.first_row(rows, ["paper_id"], ["row_no"])
+
+
 def usage_category(spark: SparkSession, folder: str) -> DataFrame:
     d = table(spark, folder, "disclosure_df").select("disclosure_id", "usage_purpose")
     return rules.categorise(d, "usage_purpose", rules.LENIENT, _known(spark, folder), default=rules.OTHER).select("disclosure_id", "category")
@@ -194,7 +224,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         domain_first_category, domain_majority, domain_policy_counts, category_frequency, category_comma_frequency, publisher_crosstab, oa_definitions, oa_bucket_stats, policy_status_pivot, name_lookup_match_rate, name_lookup_last_wins,
-        percent_parses, journal_name_std, id_normalise_right_join, disclosure_matches, usage_strict_category, usage_category, usage_list_category, usage_items, usage_journal_counts, tool_counts,
+        percent_parses, journal_name_std, id_normalise_right_join, disclosure_matches, usage_strict_category, usage_filtered_category, publisher_ranking, name_lookup_unmatched, first_deliveries, usage_category, usage_list_category, usage_items, usage_journal_counts, tool_counts,
     )
 }
 SQL = {
@@ -228,6 +258,13 @@ SQL = {
       select disclosure_id, found_id, found_location from disclosure_df left join j on {standard_name_sql('journal_name')} = k""",
     "usage_strict_category": f"""select disclosure_id, category from (select disclosure_id, coalesce(usage_group, {rules_sql('v', rules.STRICT, 'null')}) as category
       from (select disclosure_id, {_PURPOSE} as v from disclosure_df) left join usage_canon on v = usage_label where v <> '' and lower(v) <> 'unspecified' and v not in ('other', 'tbc')) where category is not null""",
+    "usage_filtered_category": f"""select disclosure_id, category from (select disclosure_id, coalesce(usage_group, {rules_sql('v', rules.STRICT, 'null')}) as category
+      from (select disclosure_id, {_PURPOSE} as v from disclosure_df) left join usage_canon on v = usage_label where v <> '' and lower(v) <> 'unspecified' and v not in ({", ".join(f"'{x}'" for x in rules.EXCLUDED)})) where category is not null""",
+    "publisher_ranking": """with j as (select publisher, regexp_replace(upper(publisher), '[^\\p{L}\\p{N}]+', '', 'g') as k from journal_info where regexp_matches(publisher, '[^\\s\\p{Z}]')),
+      s as (select min(normalized_publisher) as canonical, regexp_replace(upper(normalized_publisher), '[^\\p{L}\\p{N}]+', '', 'g') as k from publisher_stats group by 2)
+      select coalesce(canonical, publisher) as name, count(*) as count from j left join s on j.k = s.k and s.k <> '' group by 1 order by count desc, name limit 20""",
+    "name_lookup_unmatched": f"""select distinct journal_name from journal_csv where journal_name is not null and {standard_name_sql('journal_name')} not in (select {standard_name_sql('journal_name')} from journal_info) order by journal_name limit 10""",
+    "first_deliveries": "select paper_id, row_no, pub_date from paper where paper_id is not null qualify row_number() over (partition by paper_id order by row_no) = 1",
     "usage_category": f"""select disclosure_id, case when coalesce(v, '') = '' or lower(v) = 'unspecified' then '{rules.OTHER}' else coalesce(usage_group, {rules_sql('v', rules.LENIENT, f"'{rules.OTHER}'")}) end as category
       from (select disclosure_id, {_PURPOSE} as v from disclosure_df) left join usage_canon on v = usage_label""",
     "usage_list_category": f"""with {_LISTED}, c as (select disclosure_id, string_agg(category, '|' order by category) as categories from (select distinct disclosure_id, category from placed) group by 1)

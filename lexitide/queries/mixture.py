@@ -13,8 +13,12 @@ from lexitide.operators import mixture, report
 from lexitide.plans import papers
 from lexitide.queries.keywords import _PATTERN, DATED, Z, members_sql, rounded
 
-#: Countries where English is the first language of teaching; fixed values of the roll-up.
-ENGLISH = ["US", "GB", "CA", "AU", "NZ", "IE", "ZA", "IN"]
+#: Codes of the countries that the published comparison counts as English-speaking.
+ENGLISH = """
+AU BM CA FK GI GG GY IE IM JE NZ SG ZA GB US VI AG AI BS BB VG KY DM GD VC JM MS KN LC TT TC
+""".split()
+#: Sets of keys that are estimated together, in one pass over the papers.
+SETS = [papers.SCENARIOS[k] for k in ("half_year", "half_year_policy", "half_year_policy_category", "half_year_oa", "half_year_country", "half_year_domain", "policy_country", "policy_domain", "month", "half_year_oa_policy")]
 
 
 def mle_scenario(spark: SparkSession, folder: str, keys: tuple[str, ...], method: str = "fisher_logit", exact: bool = False) -> DataFrame:
@@ -22,6 +26,12 @@ def mle_scenario(spark: SparkSession, folder: str, keys: tuple[str, ...], method
     return rounded(mixture.estimates(docs, keys, method, exact=exact), 6)
 
 
+def mle_sets(spark: SparkSession, folder: str) -> DataFrame:
+    """All published sets of groups in one pass: each paper's probabilities are computed once."""
+    member = lambda df, s: papers.in_members(df, s, keep_blank=True)
+    return rounded(mixture.estimate_sets(papers.weighed(spark, folder), SETS, member), 6)
+
+
 def mle_ci_comparison(spark: SparkSession, folder: str) -> DataFrame:
     """Mean and median width of the three intervals over half-years, and how often they have one."""
     rows = mixture.compare_methods(papers.weighed(spark, folder), ("year", "half_year"))
@@ -63,7 +73,7 @@ weighed as (select dated.*, coalesce(h, ln(1e-10)) as lp_human, coalesce(a, ln(1
 )
 
 
-def estimates_sql(keys: tuple[str, ...], method: str = "fisher_logit", least: int = 10, body: str = "") -> str:
+def estimates_sql(keys: tuple[str, ...], method: str = "fisher_logit", least: int = 10, body: str = "", exact: bool = False) -> str:
     """The estimates by bisection in a recursive query."""
     cols = ", ".join(keys)
     same = " and ".join(f"d.{k} = i.{k}" for k in keys)
@@ -75,6 +85,8 @@ def estimates_sql(keys: tuple[str, ...], method: str = "fisher_logit", least: in
     part = f"({close}) - 2*(greatest({t1}, {t2}) + ln(1 + exp(-abs({t1} - {t2}))))"
     mix = "((1 - alpha)*exp(lp_human) + alpha*exp(lp_ai))"
     contribution = f"case when lp_human > -500 and lp_ai > -500 then case when {mix} > 1e-100 then power((exp(lp_ai) - exp(lp_human)) / {mix}, 2) else 0 end when {gap} < 1e-10 then 0 when {part} > -100 then exp({part}) else 0 end"
+    if exact:
+        contribution = f"power({slope.replace('(lo+hi)/2', 'alpha')}, 2)"
     sigmoid = lambda x: f"1 / (1 + exp(-({x})))"
     w = f"{Z} / sqrt(fi)"
     if method == "profile":
@@ -91,7 +103,7 @@ def estimates_sql(keys: tuple[str, ...], method: str = "fisher_logit", least: in
         logit = lambda s: f"case when alpha > 0.001 and alpha < 0.999 then {sigmoid(f'ln(alpha/(1-alpha)) {s} {w}/(alpha*(1-alpha))')} else greatest(0, least(1, alpha {s} {w})) end"
         lower = f"case when n >= 50 then case when alpha > 1e-6 and 2*(best - l0) > {crit} then pl else 1e-6 end else {logit('-')} end"
         upper = f"case when n >= 50 then case when alpha < 1 - 1e-6 and 2*(best - l1) > {crit} then pu else 1 - 1e-6 end else {logit('+')} end"
-        name = "case when n >= 50 then 'profile' else 'fisher_logit' end"
+        name = "case when n >= 50 then 'profile_likelihood' else 'fisher_logit' end"
     else:
         extra, joined, name = "", "info", f"'{method}'"
         if method == "fisher_logit":
@@ -116,16 +128,37 @@ _ENGLISH = ", ".join(f"'{c}'" for c in ENGLISH)
 _ROLL = f"""select year, half_year, english, cast(coalesce(sum(c), 0) as bigint) as count, round(sum(c*mean)/sum(c), 6) as mean, round(sqrt(sum(c*c*se*se))/sum(c), 6) as se,
   round(greatest(0, least(1, sum(c*mean)/sum(c) - 1.96*sqrt(sum(c*c*se*se))/sum(c))), 6) as ci_lower, round(greatest(0, least(1, sum(c*mean)/sum(c) + 1.96*sqrt(sum(c*c*se*se))/sum(c))), 6) as ci_upper
   from (select *, trim(country_list) in ({_ENGLISH}) as english, case when warning <> 'extreme_estimate' then cast(count as double) end as c from result) group by year, half_year, english"""
+_KINDS = {"year": "int", "month": "int", "has_policy": "boolean", "is_oa": "boolean"}
+
+
+def sets_sql() -> str:
+    """The estimates of each set, one below the other."""
+    keys = list(dict.fromkeys(k for s in SETS for k in s))
+    one = lambda s: f"""select '{"+".join(s)}' as keys, {", ".join(k if k in s else f"cast(null as {_KINDS.get(k, 'varchar')}) as {k}" for k in keys)},
+      count, mean, ci_lower, ci_upper, ci_width, fisher_info, se, ci_method, warning from ({estimates_sql(s)})"""
+    return " union all ".join(one(s) for s in SETS)
+
+
+def comparison_sql() -> str:
+    """The widths of the three intervals from three estimates."""
+    widths = lambda m: f"select '{m}' as ci_method, w from ({estimates_sql(('year', 'half_year'), m, 50, 'select ci_upper - ci_lower as w from result')})"
+    rows = " union all ".join(widths(m) for m in ("fisher_logit", "fisher_wald", "profile"))
+    return f"""select ci_method, count(*) as n, round(avg(cast(w > 0 as double)), 6) as success_rate, round(avg(w), 6) as mean_width, round(median(w), 6) as median_width from ({rows}) group by ci_method"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: partial(mle_scenario, keys=k) for n, k in NAMES.items()}
 QUERIES |= {
     "mle_fisher_wald": partial(mle_scenario, keys=("year", "half_year"), method="fisher_wald"),
     "mle_profile_ci": partial(mle_scenario, keys=("year", "half_year"), method="profile"),
     "mle_exact_information": partial(mle_scenario, keys=("year", "half_year"), exact=True),
 }
-QUERIES |= {f.__name__: f for f in (mle_ci_comparison, english_rollup, lexicon_distributions, log_probabilities, word_bags)}
+QUERIES |= {f.__name__: f for f in (mle_sets, mle_ci_comparison, english_rollup, lexicon_distributions, log_probabilities, word_bags)}
 SQL = {n: estimates_sql(k) for n, k in NAMES.items()} | {
     "mle_fisher_wald": estimates_sql(("year", "half_year"), "fisher_wald"),
     "mle_profile_ci": estimates_sql(("year", "half_year"), "profile"),
+    "mle_exact_information": estimates_sql(("year", "half_year"), exact=True),
+    "mle_sets": sets_sql(),
+    "mle_ci_comparison": comparison_sql(),
     "english_rollup": estimates_sql(("year", "half_year", "country_list"), body=_ROLL),
     "lexicon_distributions": f"with {_WEIGHED} select word, round(p_human, 8) as p_human, round(p_ai, 8) as p_ai from lex",
     "log_probabilities": f"with {_WEIGHED} select row_no, round(lp_human, 6) as lp_human, round(lp_ai, 6) as lp_ai from weighed",

@@ -17,27 +17,39 @@ from lexitide.operators.lookup import map_values
 Client = Callable[[str], str]
 
 
-def with_retries(client: Client, tries: int = 3, wait: float = 1.5, sleep: Callable[[float], None] = time.sleep) -> Client:
-    """``client`` called up to ``tries`` times with pauses; the last error comes out as a JSON text {"error": ...}."""
+def with_retries(client: Client, tries: int = 3, wait: float = 1.5, sleep: Callable[[float], None] = time.sleep, valid: Callable[[str], bool] | None = None) -> Client:
+    """``client`` called up to ``tries`` times with pauses, until its answer is ``valid``; the last error comes out as a JSON text
+    {"error": ...}, the last answer that is not valid as it stands."""
 
     def call(text: str) -> str:
         for k in range(tries):
             try:
-                return client(text)
+                last = client(text)
+                if valid is None or valid(last):
+                    return last
             except Exception as x:
-                error = json.dumps({"error": str(x)})
-                if k + 1 < tries:
-                    sleep(wait)
-        return error
+                last = json.dumps({"error": str(x)})
+            if k + 1 < tries:
+                sleep(wait)
+        return last
 
     return call
 
 
-def enrich(df: DataFrame, text: str, client: Client, result: str, pause: float = 0.0) -> DataFrame:
+def is_json_object(answer: str) -> bool:
+    """Whether an answer is a JSON object."""
+    try:
+        return isinstance(json.loads(answer), dict)
+    except (TypeError, ValueError):
+        return False
+
+
+def enrich(df: DataFrame, text: str, client: Client, result: str, pause: float = 0.0, tries: int = 1, wait: float = 1.5, valid: Callable[[str], bool] | None = None) -> DataFrame:
     """``df`` with the client's answer for each non-null text, asked by the tasks; ``pause`` seconds lie between calls of
-    one task. Null texts are not sent and get null; an error of the client becomes a JSON text {"error": ...}."""
+    one task. Null texts are not sent and get null; a text is sent up to ``tries`` times, ``wait`` seconds apart, until the
+    answer is ``valid``; an error of the client becomes a JSON text {"error": ...}."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{result}` string"
-    ask = with_retries(client, tries=1)
+    ask = with_retries(client, tries, wait, valid=valid)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
