@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from lexitide.functions import dates, stats, text
 from lexitide.operators import lookup, means, mixture, prevalence, report, rules
+from lexitide.plans import lineage
 from lexitide.queries import keywords
+from lexitide.queries.mixture import ENGLISH
 from lexitide.sources import files, services
 from lexitide.streaming.shares import newest_version, windowed_shares
 
@@ -234,3 +236,137 @@ def test_clean_truncate_cuts_at_the_limit_of_the_service(spark, tmp_path):
     spark.createDataFrame(rows, kinds).write.parquet(str(tmp_path / "paper.parquet"))
     got = {r.row_no: r.abstract for r in keywords.clean_truncate(spark, str(tmp_path)).collect()}
     assert got == {0: ("ab " * 400).strip(), 1: "x" * 50_000, 2: "y" * 50_000, 3: None, 4: None}
+
+
+#: Published rows: count, share, and the bounds that the study gives for them.
+SHARES = [(742442, 0.5362250519232479, 0.5350905253981202, 0.537359203587241), (595002, 0.5494233632828125, 0.5481588162514552, 0.5506872721429061)]
+#: The same of the mixture, with information and standard error.
+MIXED = [
+    (0.17531974039430978, 564.7143528655934, 0.04208095497334602, 0.10727969512037326, 0.2733017609367899),
+    (0.0504848308213688, 3843293.910793215, 0.0005100916344104317, 0.04949439100388793, 0.05149401673351158),
+    (0.37022780898019986, 20.192170613227795, 0.22254021148390263, 0.0830249337069833, 0.7924011311823187),
+    (0.1654233249081384, 559.2444772045774, 0.04228624756407057, 0.09808031293362297, 0.26539866900603953),
+]
+
+
+def test_published_intervals(spark):
+    lo, hi = stats.wilson(F.col("p"), F.col("n"))
+    for r, (_, _, low, high) in zip(spark.createDataFrame([(p, n) for n, p, _, _ in SHARES], "p double, n long").select(lo.alias("lo"), hi.alias("hi")).collect(), SHARES, strict=True):
+        assert (r.lo, r.hi) == pytest.approx((low, high), rel=1e-12)
+    lo, hi = stats.logit_interval(F.col("a"), F.col("i"))
+    for r, (_, _, se, low, high) in zip(spark.createDataFrame([(a, i) for a, i, *_ in MIXED], "a double, i double").select(lo.alias("lo"), hi.alias("hi"), (1 / F.sqrt("i")).alias("se")).collect(), MIXED, strict=True):
+        assert (r.lo, r.hi, r.se) == pytest.approx((low, high, se), rel=1e-9)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_mixture_sides_agree_with_ties_and_null_keys(spark, seed):
+    r = np.random.default_rng(seed)
+    frame = pd.DataFrame({"g": r.choice(["a", "b"], 120), "h": r.choice([1, 2], 120), "lp_human": r.choice([-40.0, -41.5, -600.0], 120)})
+    frame["lp_ai"] = frame.lp_human + r.choice([-2.0, 0.0, 1.0, 3.0], 120)
+    df = spark.createDataFrame(frame).withColumn("h", F.when(F.col("h") == 1, 1))
+    one, many = ({(x.g, x.h): x for x in mixture.solve(df, ["g", "h"], some=["g"], at_hand=k).collect()} for k in (1_000, 0))
+    assert set(one) == set(many) == {("a", 1), ("a", None), ("b", 1), ("b", None)}
+    for k, x in one.items():
+        assert x["count"] == many[k]["count"]
+        for c in ("alpha", "fisher_info", "profile_lower", "profile_upper"):
+            assert x[c] == pytest.approx(many[k][c], rel=1e-7, abs=1e-9)
+
+
+def test_sets_of_groups_equal_single_ones(spark):
+    r = np.random.default_rng(5)
+    frame = pd.DataFrame({"y": r.choice([2021, 2022], 200), "m": r.choice(["a", "a|b", "", "b"], 200), "lp_human": r.choice([-40.0, -41.0], 200)})
+    frame["lp_ai"] = frame.lp_human + r.choice([-2.0, 1.0, 3.0], 200)
+    df = spark.createDataFrame(frame)
+    member = lambda d, s: prevalence.each_member(d, "m", keep_blank=True) if "m" in s else d
+    got = {(x.y, x.m): x for x in mixture.estimate_sets(df, [("y",), ("y", "m"), ("m",)], member).collect()}
+    for keys in (("y",), ("y", "m"), ("m",)):
+        for x in mixture.estimates(member(df, keys), keys).collect():
+            own = got.pop((x.y if "y" in keys else None, x.m if "m" in keys else None))
+            assert own["keys"] == "+".join(keys) and own["count"] == x["count"] and own["mean"] == pytest.approx(x["mean"], abs=1e-12)
+    assert not got
+
+
+def test_bounds_fall_back_where_the_profile_has_none(spark):
+    rows = [("a", 60, 0.3, 100.0, 0.2, 0.4), ("b", 60, 0.3, 100.0, None, None), ("c", 40, 0.3, 100.0, 0.2, 0.4)]
+    df = spark.createDataFrame(rows, "g string, count long, alpha double, fisher_info double, profile_lower double, profile_upper double")
+    got = {x.g: x for x in mixture.with_bounds(df, ["g"], "profile").collect()}
+    assert [got[g].ci_method for g in "abc"] == ["profile_likelihood", "fisher_logit_fallback", "fisher_logit"]
+    assert got["a"].ci_lower == 0.2 and got["b"].ci_lower == got["c"].ci_lower != 0.2
+
+
+def test_large_lexicons_give_the_same(spark):
+    lexicon = spark.createDataFrame([("good", 0.2, 0.1), ("new", 0.0, 0.5)], "word string, p_human double, p_ai double")
+    df = spark.createDataFrame([(1, "good new good"), (2, None), (3, "Good"), (4, "")] + [(i, "new") for i in range(5, 60)], "id int, t string")
+    small, large = ({r.id: (r.lp_human, r.lp_ai) for r in mixture.log_probabilities(df, "id", "t", lexicon, at_hand=k).collect()} for k in (10, 0))
+    assert small.keys() == large.keys() and all(small[k] == pytest.approx(large[k]) for k in small)
+    lower = mixture.log_probabilities(df, "id", "t", lexicon, extract=lambda c: F.split(F.lower(F.coalesce(c, F.lit(""))), " ")).where("id = 3").first()
+    assert lower.lp_human == pytest.approx(math.log(0.2 + 1e-10))
+
+
+def test_lookups_by_alias_and_reports(spark):
+    df = spark.createDataFrame([("A.",), ("B",), (None,), ("A.",), ("C",)], "x string")
+    aliases = spark.createDataFrame([("A.", "Alpha"), ("A.", "Aleph"), (None, "None")], "a string, c string")
+    assert sorted(str(r.y) for r in lookup.by_alias(df, "x", aliases, "a", "c", "y").collect()) == ["Aleph", "Aleph", "B", "C", "None"]
+    counts = lookup.frequencies(df, F.col("x"), "x")
+    assert [tuple(r) for r in lookup.most_frequent(counts, "x").collect()] == [("A.", 2), ("B", 1), ("C", 1)]
+    assert lookup.most_frequent(counts, "x", n=1).count() == 1
+    assert [r.x for r in lookup.unmatched_sample(df, F.col("x") == "B", "x", 1).collect()] == ["A."]
+    rows = spark.createDataFrame([("k", 2, "b"), ("k", 1, "a"), (None, 1, "n")], "k string, n int, v string")
+    assert sorted(r.v for r in lookup.first_row(rows, ["k"], ["n"]).collect()) == ["a", "n"]
+
+
+def test_more_files(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("\ufeffn,x,s\n1,2.5,a\n2,,b\n")
+    assert dict(files.read_csv(spark, str(tmp_path / "t.csv"), infer=True).dtypes) == {"n": "int", "x": "double", "s": "string"}
+    df = spark.createDataFrame([(1, ["a"], None), (2, [], "x")], "id int, xs array<string>, s string")
+    files.write_records(df, str(tmp_path / "j"))
+    assert sorted(spark.read.json(str(tmp_path / "j"), schema=df.schema).collect()) == sorted(df.collect())
+    (tmp_path / "w.json").write_text(json.dumps({"one": 1, "two": 2}))
+    assert text.read_words(str(tmp_path / "w.json")) == ["one", "two"]
+    lines = [f"line {i}" if i % 3 else "  " for i in range(2_000)]
+    (tmp_path / "many.txt").write_text("\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = files.read_lines(spark, str(tmp_path / "many.txt"))
+        assert [tuple(r) for r in got.orderBy("id").collect()] == list(enumerate((x for x in lines if x.strip()), 1))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    files.append_new(df.where("id = 1").select("id"), str(tmp_path / "p"), "id")
+    files.append_new(df.select("id"), str(tmp_path / "p"), "id")
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "p")).collect()) == [1, 2]
+
+
+def test_answers_that_are_no_json_are_asked_for_again(spark):
+    answers = iter(["no json", "[1]", '{"a":1}'])
+    assert services.with_retries(lambda t: next(answers), sleep=lambda s: None, valid=services.is_json_object)("x") == '{"a":1}'
+    assert services.with_retries(lambda t: "never", tries=2, sleep=lambda s: None, valid=services.is_json_object)("x") == "never"
+    df = spark.createDataFrame([("x",), (None,)], "t string")
+    assert {r.a for r in services.enrich(df, "t", lambda t: "bad", "a", tries=2, wait=0.0, valid=services.is_json_object).collect()} == {"bad", None}
+
+
+def test_cut_tables_and_stored_ones(spark, tmp_path):
+    df = spark.range(5)
+    table = lineage.cut(df)
+    place = table.inputFiles()[0].rsplit("/", 1)[0]
+    assert table.count() == 5 and lineage.exists(spark, place)
+    assert lineage.release(spark) >= 1 and not lineage.exists(spark, place) and lineage.release(spark) == 0
+    path, built = str(tmp_path / "kept"), []
+    for _ in range(2):
+        assert lineage.stored(spark, path, lambda: built.append(1) or df).count() == 5
+    assert len(built) == 1
+    assert lineage.one_process("local[4]") and lineage.one_process("local") and not lineage.one_process("local-cluster[2,1,1024]") and not lineage.one_process("spark://a:7077")
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Context:
+        master = "spark://a:7077"
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isEmpty": lambda self: True})()})()})()
+
+    session = type("Session", (), {"sparkContext": Context(), "conf": type("C", (), {"get": lambda self, k, d: d})()})()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        lineage.shared_folder(session)
+
+
+def test_published_fixed_values():
+    assert len(ENGLISH) == len(set(ENGLISH)) == 31 and "IN" not in ENGLISH
+    assert len(rules.EXCLUDED) == 23

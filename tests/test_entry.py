@@ -33,3 +33,13 @@ def test_same_as_sql(spark, name):
 def test_without_the_optional_part(monkeypatch):
     monkeypatch.setattr(e, "OPTIONAL", {"lexitide.absent": "lexitide.absent.queries"})
     assert "p7_found" in e.queries() and "p1_found" not in e.queries()
+
+
+def test_an_empty_folder_is_no_part(tmp_path, monkeypatch):
+    (tmp_path / "leftover").mkdir()
+    monkeypatch.syspath_prepend(str(tmp_path))
+    monkeypatch.setattr(e, "OPTIONAL", {"leftover": "leftover.queries"})
+    assert "p7_found" in e.queries()
+    (tmp_path / "leftover" / "queries.py").write_text("import no_such_package")
+    with pytest.raises(ModuleNotFoundError, match="no_such_package"):
+        e.queries()

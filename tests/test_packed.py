@@ -39,3 +39,11 @@ def test_table(spark):
     got = split_packed(df, "id", {"x": "field_name", "y": "pos"}, KNOWN, least=2)
     assert sorted(map(tuple, got.collect())) == [("x", 1, 1, "US"), ("x", 1, 2, "GB"), ("x", 3, 1, "DE"), ("x", 3, 2, "FR"), ("y", 2, 1, "a"), ("y", 2, 2, "b"), ("y", 2, 3, "a")]
     assert split_packed(df.limit(0), "id", {"x": "field_name"}, []).count() == 0
+
+
+def test_own_delimiters(spark):
+    df = spark.createDataFrame([(1, "a#b#c"), (2, "a,b"), (3, "x#y, z")], "id long, t string")
+    got = split_packed(df, "id", {"x": "t"}, [], least=2, delimiter="#")
+    assert sorted((r.row_key, r.val) for r in got.collect()) == [(1, "a"), (1, "b"), (1, "c"), (3, "x"), (3, "y, z")]
+    spaced = spark.createDataFrame([(1, "US\u00a0and\u00a0GB")], "id long, t string")
+    assert [r.val for r in split_packed(spaced, "id", {"x": "t"}, [], least=2).collect()] == ["US", "GB"]
