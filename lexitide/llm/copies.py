@@ -2,8 +2,8 @@
 
 Records are reduced to a canonical key, range-partitioned and sorted by the key, and each partition is scanned
 once; equal neighbours, compared by their full keys, form a run. The ranges are cut at (key hash, record id),
-so the copies of one record may fill many partitions; runs that touch a partition's ends are joined afterwards
-through a table of at most two rows for each partition.
+so the copies of one record may fill many partitions; runs with the hash of a partition's first or last record are joined
+afterwards by their full keys, two rows for each partition unless keys of one hash meet there.
 """
 
 from __future__ import annotations
@@ -28,42 +28,51 @@ def canonical(field: Column) -> Column:
     return F.regexp_replace(folded, DROPPED, "")
 
 
+def _hash(key: Column) -> Column:
+    return F.xxhash64(key)
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, id) of each record, and (rep, null, key) for the first and the last run of the partition."""
-    last_key, rep, first_key, first_rep = None, None, None, None
+    """(rep, id) of each record, and (rep, null, key) for the runs with the first and with the last hash of the partition."""
+    last_key, rep, first_hash = None, None, None
+    begin: list[tuple[int, str]] = []  # runs of the first hash
+    end: list[tuple[int, str]] = []  # runs of the latest hash
+    latest = None
     kind = {"rep": pa.int64(), "id": pa.int64(), "key": pa.string()}
     for batch in batches:
         if not batch.num_rows:
             continue
-        ids, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+        ids, keys, hashes = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), batch.column(2).to_numpy(zero_copy_only=False)
         new = np.ones(len(ids), bool)
         new[1:] = pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)
-        start = keys[0].as_py()
         if last_key is None:
-            first_key, first_rep = start, int(ids[0])
-        elif start == last_key:
+            first_hash = hashes[0]
+        elif keys[0].as_py() == last_key:
             new[0] = False
         at = np.maximum.accumulate(np.where(new, np.arange(len(ids)), -1))
         reps = np.where(at >= 0, ids[at], rep if rep is not None else 0)
         last_key, rep = keys[len(ids) - 1].as_py(), int(reps[-1])
+        begin += [(int(ids[k]), keys[int(k)].as_py()) for k in np.flatnonzero(new & (hashes == first_hash))]
+        if hashes[-1] != latest:
+            latest, end = hashes[-1], []
+        end += [(int(ids[k]), keys[int(k)].as_py()) for k in np.flatnonzero(new & (hashes == latest))]
         yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(ids, pa.int64()), pa.nulls(len(ids), pa.string())], list(kind))
     if last_key is not None:
-        ends = [(first_rep, first_key)] + [(rep, last_key)] * (rep != first_rep)
+        ends = list(dict.fromkeys(begin + end))
         yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in ends], pa.int64()), pa.nulls(len(ends), pa.int64()), pa.array([k for _, k in ends], pa.string())], list(kind))
 
 
 def _members(df: DataFrame, record_id: str, fields: list[str], unordered: bool, singles: bool) -> DataFrame:
     parts = F.array(*[canonical(F.col(f)) for f in fields])
     key = F.concat_ws("\x01", F.array_sort(parts) if unordered else parts)
-    keyed = df.select(F.col(record_id).cast("long").alias("id"), key.alias("key")).withColumn("h", F.xxhash64("key"))
+    keyed = df.select(F.col(record_id).cast("long").alias("id"), key.alias("key")).withColumn("h", _hash(F.col("key")))
     ranged = keyed.repartitionByRange("h", "id").sortWithinPartitions("h", "key", "id")
-    runs = ranged.select("id", "key").mapInArrow(_runs, "rep long, id long, key string")
+    runs = ranged.select("id", "key", "h").mapInArrow(_runs, "rep long, id long, key string")
     if not singles:
         runs = runs.where("key is not null or rep <> id")
     runs = cut(runs)
-    whole = F.broadcast(  # at most two rows for each partition
-        runs.where("key is not null").groupBy("key").agg(F.min("rep").alias("first"), F.collect_set("rep").alias("reps")).select("first", F.explode("reps").alias("part")).where("part <> first")
-    )
+    # Two rows for each partition, but for keys of equal hash.
+    whole = runs.where("key is not null").groupBy("key").agg(F.min("rep").alias("first"), F.collect_set("rep").alias("reps")).select("first", F.explode("reps").alias("part")).where("part <> first")
     members = runs.where("key is null").join(whole, F.col("rep") == F.col("part"), "left").select(F.coalesce("first", "rep").alias("rep"), "id")
     return members if singles else members.unionByName(whole.select(F.col("first").alias("rep"), F.col("part").alias("id")))
 

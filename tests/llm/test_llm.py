@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 from lexitide.llm import canon, copies, language, leaks, markup, mojibake, names, sample, termfreq, tokenize
 
-tiktoken = pytest.importorskip("tiktoken")
-
-
 # 1. Terms
 
 
@@ -369,6 +366,21 @@ def test_copies_against_brute_force(spark, parts):
     assert sorted(map(tuple, sizes)) == sorted((min(g), len(g)) for g in groups.values())
 
 
+@pytest.mark.parametrize("hashes", [1, 3])
+def test_copies_of_keys_with_one_hash(spark, monkeypatch, hashes):
+    monkeypatch.setattr(copies, "_hash", lambda key: F.pmod(F.length(key), F.lit(hashes)).cast("long"))
+    r = random.Random(hashes)
+    rows = [(i, "k" * r.randrange(1, 9), r.choice("ab")) for i in range(500)]
+    df = spark.createDataFrame(rows, "n long, x string, y string")
+    groups = defaultdict(list)
+    for n, *k in rows:
+        groups[tuple(k)].append(n)
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    pairs = copies.copy_pairs(df, "n", ["x", "y"]).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted(map(tuple, pairs)) == sorted((min(g), x) for g in groups.values() for x in g if x != min(g))
+
+
 def test_field_order_and_empty(spark):
     df = spark.createDataFrame([(1, "a", "b"), (2, "B", "a")], "n long, x string, y string")
     assert copies.copy_pairs(df, "n", ["x", "y"]).count() == 0
@@ -381,6 +393,7 @@ def test_field_order_and_empty(spark):
 
 @pytest.fixture(scope="module")
 def encoding():
+    tiktoken = pytest.importorskip("tiktoken")
     return tiktoken.Encoding("own", pat_str=tokenize.WORD, mergeable_ranks=tokenize.read_ranks(tokenize.VOCABULARY), special_tokens={})
 
 
