@@ -12,13 +12,13 @@ are each other's nearest merge, which gives the same tree as merging pair by pai
 from __future__ import annotations
 
 import heapq
-import math
 import re
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -218,20 +218,25 @@ def similar_pairs(items: DataFrame, form: str, n: int = 3, threshold: float = 0.
     weighed = grams.join(spread, "gram").withColumn("w", F.col("tf") * F.pow(F.log(F.lit(1.0 + total) / F.col("df")), power))
     vectors = cut(weighed.groupBy("f").agg(F.array_sort(F.collect_list(F.struct("df", "gram", "w"))).alias("v")))
     pairs = _candidates(vectors, threshold, listed)
-    both = pairs.join(vectors.select(F.col("f").alias("a"), F.col("v").alias("va")), "a").join(vectors.select(F.col("f").alias("b"), F.col("v").alias("vb")), "b")
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, e: t + e.w * e.w))
+    flat = vectors.select("f", F.transform("v", lambda e: F.xxhash64(e.gram)).alias("ids"), norm.alias("norm"), F.transform("v", lambda e: e.w).alias("ws"))
+    side = lambda x: flat.select(F.col("f").alias(x), *[F.col(c).alias(c + x) for c in ("ids", "ws", "norm")])
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "idsa", "wsa", "norma", "idsb", "wsb", "normb")
 
     def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Products of the weights that both vectors have, found by sorting those of all pairs of a batch at once."""
         for batch in batches:
-            a, b, va, vb = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a", "b", "va", "vb"))
-            out: tuple[list, list, list] = ([], [], [])
-            for f, g, p, q in zip(a, b, va, vb, strict=True):
-                y = {e["gram"]: e["w"] for e in q}
-                dot = sum(e["w"] * y.get(e["gram"], 0.0) for e in p)
-                cosine = dot / math.sqrt(sum(e["w"] ** 2 for e in p) * sum(e["w"] ** 2 for e in q)) if dot else 0.0
-                if cosine >= threshold:
-                    for column, x in zip(out, (f, g, cosine), strict=True):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.float64()), strict=True)], ["a", "b", "cosine"])
+            columns = [batch.column(i) for i in range(batch.num_columns)]
+            numbers = [np.repeat(np.arange(len(batch)), c.value_lengths().to_numpy(zero_copy_only=False)) for c in (columns[2], columns[5])]
+            ids, ws = (np.concatenate([columns[i].flatten().to_numpy(), columns[i + 3].flatten().to_numpy()]) for i in (2, 3))
+            pair = np.concatenate(numbers)
+            order = np.lexsort((ids, pair))
+            ids, ws, pair = ids[order], ws[order], pair[order]
+            same = np.flatnonzero((ids[1:] == ids[:-1]) & (pair[1:] == pair[:-1]))
+            dots = np.bincount(pair[same], ws[same] * ws[same + 1], len(batch))
+            found = dots / np.maximum(columns[4].to_numpy() * columns[7].to_numpy(), 1e-300)
+            kept = pa.array(found >= threshold)
+            yield pa.RecordBatch.from_arrays([columns[0], columns[1], pa.array(found)], ["a", "b", "cosine"]).filter(kept)
 
     near = both.mapInArrow(cosines, "a string, b string, cosine double")
     if top is not None:
