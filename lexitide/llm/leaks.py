@@ -2,9 +2,9 @@
 
 A task cuts its documents into shards of a bounded number of words and builds an FM-index of each: suffix
 array by prefix doubling, Burrows-Wheeler transform in a wavelet matrix, sampled suffix positions. Phrases of the
-test items are sought by backward search, all of a shard at once: pairs of neighbouring words, and pairs with any word between
-them, of which one at least is left wherever exchanged words stand alone. Each occurrence is located by walking to the next
-sampled position; the diagonals that agree enough are extended into the longest passages in which exchanged words stand alone.
+test items are sought by backward search, all of a shard at once: pairs of words with any word between them, of which one at
+least is left wherever exchanged words stand alone. Each occurrence is located by walking to the next sampled position; the
+diagonals that agree enough are extended into the longest passages in which exchanged words stand alone.
 """
 
 from __future__ import annotations
@@ -97,15 +97,17 @@ class FMIndex:
         lo, hi = self.find(last[:, None])
         rows = np.concatenate([np.arange(a, b) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)] or [np.zeros(0, np.int64)])
         second = np.repeat(last, hi - lo)
-        for _ in range(2):
-            c = self.tree.access(rows)
-            kept = (c != 0) & (c < (1 << self.tree.bits) - 1)
-            c, rows, second = c[kept], rows[kept], second[kept]
-            rows = self.first[c] + self.tree.rank(c, rows)
-        keys, order = (pairs[:, 0] << 32) | pairs[:, 1], np.argsort((pairs[:, 0] << 32) | pairs[:, 1])
-        at = np.searchsorted(keys[order], (c << 32) | second)
-        hit = (at < len(keys)) & (keys[order][np.minimum(at, len(keys) - 1)] == ((c << 32) | second))
-        return order[at[hit]], rows[hit]
+        c = self.tree.access(rows)
+        kept = (c != 0) & (c < (1 << self.tree.bits) - 1)
+        c, rows, second = c[kept], rows[kept], second[kept]
+        rows = self.first[c] + self.tree.rank(c, rows)
+        c = self.tree.access(rows)
+        keys = (pairs[:, 0] << 32) | pairs[:, 1]
+        order = np.argsort(keys)
+        at = np.minimum(np.searchsorted(keys[order], (c << 32) | second), len(keys) - 1)
+        hit = keys[order][at] == (c << 32) | second
+        c, rows = c[hit], rows[hit]
+        return order[at[hit]], self.first[c] + self.tree.rank(c, rows)
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
         rows, steps, found = rows.copy(), np.zeros(len(rows), np.int64), np.full(len(rows), -1, np.int64)
@@ -132,9 +134,8 @@ class Items:
     places: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # for each phrase where its (text, place) begin
 
 
-def prepare(items: list[tuple[int, str]], seed: int = 2) -> Items:
-    """Items with their phrases of ``seed`` words, and their pairs of words with one between. A shorter text is a phrase of
-    its own."""
+def prepare(items: list[tuple[int, str]]) -> Items:
+    """Items with their pairs of words with one between. A text of one or two words is a phrase of its own."""
     vocabulary: dict[str, int] = {}
     ids: dict[tuple, list[int]] = defaultdict(list)
     for i, t in items:
@@ -143,9 +144,8 @@ def prepare(items: list[tuple[int, str]], seed: int = 2) -> Items:
             ids[words].append(i)
     seeds: dict[int, dict[tuple, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
     for k, ws in enumerate(ids):
-        size = min(len(ws), seed)
-        for j in range(len(ws) - size + 1):
-            seeds[size][ws[j : j + size]].append((k, j))
+        if len(ws) < 3:
+            seeds[len(ws)][ws].append((k, 0))
         for j in range(len(ws) - 2):
             seeds[0][ws[j], ws[j + 2]].append((k, j))
     places = {}
@@ -224,18 +224,18 @@ def _diagonals(index: FMIndex, items: Items) -> np.ndarray:
 
 
 def _agreeing(shard: np.ndarray, items: Items, diagonals: np.ndarray, least: int, cells: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Those diagonals on which some stretch of ``least`` words, or the whole of a shorter text, agrees enough for a passage."""
+    """Those diagonals on which some stretch of ``least`` words, or the whole of a shorter text, has no two neighbours that differ."""
     padded = np.concatenate([shard, np.zeros(1, np.int64)])
     for k, words in enumerate(items.words):
         at = diagonals[diagonals[:, 0] == k, 1]
-        size = min(least, len(words))
-        need = -(-size // 2)
+        size = min(least, len(words)) - 1  # pairs of neighbours
         for i in range(0, len(at), max(1, cells // len(words))):
             some = at[i : i + max(1, cells // len(words))]
             places = some[:, None] + np.arange(len(words))
             same = padded[np.where((places >= 0) & (places < len(shard)), places, len(shard))] == words
-            sums = np.concatenate([np.zeros((len(some), 1), np.int32), same.cumsum(1, dtype=np.int32)], 1)
-            for d in some[(sums[:, size:] - sums[:, : sums.shape[1] - size]).max(1) >= need].tolist():
+            apart = ~same[:, 1:] & ~same[:, :-1]
+            sums = np.concatenate([np.zeros((len(some), 1), np.int32), apart.cumsum(1, dtype=np.int32)], 1)
+            for d in some[(sums[:, size:] - sums[:, : sums.shape[1] - size]).min(1) == 0].tolist():
                 yield k, d
 
 
@@ -255,7 +255,7 @@ def _search(shard: np.ndarray, items: Items, bits: int, least: int, stock: int)
         yield from _explained(shard, items.words, group, least, stock)
 
 
-def leaked_spans(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, least: int = 12, seed: int = 2, stock: int = 3, few: int = 3, items_max: int = 100_000) -> DataFrame:
+def leaked_spans(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, least: int = 12, stock: int = 3, few: int = 3, items_max: int = 100_000) -> DataFrame:
     """(doc_id, item_id, first, last): passages of items in documents, as word numbers from 0.
 
     A passage is the whole item or at least ``least`` successive words of it, case, punctuation and spacing aside, in
@@ -266,7 +266,7 @@ def leaked_spans(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
     held = items.select(F.col(item_id).cast("int").alias("i"), F.col(item_text).alias("t")).limit(items_max + 1).collect()
     if len(held) > items_max:
         raise ValueError(f"more than {items_max} items")
-    ready = prepare([(r.i, r.t) for r in held], seed)
+    ready = prepare([(r.i, r.t) for r in held])
     shared = docs.sparkSession.sparkContext.broadcast(ready)
     longest = max(map(len, ready.words), default=least)
     # A part keeps the passages that begin in it with the room of a passage on either side for those that overlap them.
