@@ -134,6 +134,7 @@ class Repair:
 
     def __init__(self, learned: list[str], seen: dict[tuple[str, str], int]):
         self.multi, self.single, self.seen = [], [], seen
+        self.intact: set[str] = set()  # runs in which no transformation shows
         for t in learned:
             w, r = t.split(">")
             if w == "utf-8":
@@ -145,6 +146,8 @@ class Repair:
             else:
                 back = {g: c for c in _written(w) if ord(c) > 0xA0 and (g := garble(c, w, r)) and g != c and ord(g) > 0x7F}
                 self.single.append(back)
+        suspects = "".join(sorted({c for back in self.single for c in back}))
+        self.suspect = re.compile("[" + re.escape(suspects) + "]") if suspects else None
 
     @staticmethod
     def _decode(run: str, lone: Callable[[str], bool], pattern: re.Pattern, table: dict[str, int]) -> tuple[int, str]:
@@ -175,6 +178,12 @@ class Repair:
     def _undo(self, run: str, lone: Callable[[str], bool]) -> str:
         """A run with multi-byte transformations undone, each time the one that explains most of it, until none explains any;
         as every time makes the run shorter, this ends."""
+        if run in self.intact:
+            return run
+        if not any(pattern.search(run) for pattern, _ in self.multi):
+            if len(run) < 8 and len(self.intact) < 100_000:
+                self.intact.add(run)
+            return run
         while True:
             count, read = max((self._decode(run, lone, *t) for t in self.multi), key=lambda x: x[0], default=(0, run))
             if not count:
@@ -202,13 +211,14 @@ class Repair:
             return self._undo(m.group(), lone)
 
         now = FOREIGN.sub(undo, text) if self.multi else text
-        whole = self._single(now)
-        if whole == now and self.single:
+        whole = now
+        if self.suspect and self.suspect.search(now) and (whole := self._single(now)) == now:
             parts, at = [], 0
             for a, b in foreign_words(now):
-                x = max(0, a - 1)
-                parts += [now[at:a], self._single(now[x : b + 1])[a - x : b - x]]
-                at = b
+                if self.suspect.search(now, a, b):
+                    x = max(0, a - 1)
+                    parts += [now[at:a], self._single(now[x : b + 1])[a - x : b - x]]
+                    at = b
             whole = "".join([*parts, now[at:]])
         return whole != text or LOST.search(text) is not None, whole, LOST.search(whole) is None
 
