@@ -361,7 +361,7 @@ def _in_rounds(links: DataFrame, least: int) -> DataFrame:
     return to
 
 
-def link_names(names: DataFrame, name: str, threshold: float = 0.35, least: float = 0.1, top: int | None = None, check: Callable[[str, str], float] | None = agreement, wording: Wording = PUBLISHERS, n: int = 4) -> DataFrame:
+def link_names(names: DataFrame, name: str, threshold: float = 0.25, least: float = 0.1, top: int | None = None, check: Callable[[str, str], float] | None = agreement, wording: Wording = PUBLISHERS, n: int = 4, power: float = 2.0) -> DataFrame:
     """(name, cluster): the group of variants of each distinct non-blank value of ``name``.
 
     Null and blank names are left out; repeated ones count once. Names whose forms are equal are variants; others
@@ -378,7 +378,7 @@ def link_names(names: DataFrame, name: str, threshold: float = 0.35, least: floa
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (x, f, g)], ["name", "form", "reading"])
 
     known = cut(distinct.mapInArrow(run, "name string, form string, reading string"))
-    links = cut(similar_pairs(known, "reading", n, threshold, 1.0, top, check).select("a", "b", F.col("cosine").alias("s")))
+    links = cut(similar_pairs(known, "reading", n, threshold, power, top, check).select("a", "b", F.col("cosine").alias("s")))
     # A name with a second reading goes by that where it is another name's first form or linked to one, else by its first.
     readings, first = known.select("form", "reading").distinct(), known.select("form").distinct()
     ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
